@@ -17,7 +17,6 @@ columns and repeated rows pass through; further columns are dropped; an empty ta
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from unicodedata import category
@@ -28,7 +27,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import in_batches, ranges, slices, table
+from readloom.llm.common import in_batches, ranges, slices, table, utf8
+from readloom.llm.grams import byte_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,29 +38,97 @@ _NONE = np.int64(1 << 62)
 _LOW = np.int64((1 << 32) - 1)
 
 
-def _quick(pattern: str) -> re.Pattern:
-    """The pattern for texts within U+0000 to U+024F, with its classes spelled out (the standard library's
-    engine is faster, but has no classes by Unicode category)."""
-    of = {k: [] for k in "LNS"}
-    for c in range(0x250):
-        kind = category(chr(c))[0]
-        if kind in "LN":
-            of[kind].append(c)
-    of["S"] = [9, 10, 11, 12, 13, 32, 0x85, 0xA0]
-
-    def spans(codes: list[int]) -> str:
-        out, start = "", None
-        for i, c in enumerate(codes):
-            start = c if start is None else start
-            if i + 1 == len(codes) or codes[i + 1] != c + 1:
-                out += f"\\u{start:04x}-\\u{c:04x}"
-                start = None
+_APOSTROPHE = 39
+_LETTER, _NUMBER, _SPACE, _OTHER, _FAR = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """The class of the code points below U+0240. Those of two-byte white space count as far: no fast way."""
+    out = np.full(0x240, _OTHER, np.uint8)
+    for c in range(0x240):
+        out[c] = {"L": _LETTER, "N": _NUMBER}.get(category(chr(c))[0], _OTHER)
+    out[[9, 10, 11, 12, 13, 32]] = _SPACE
+    out[[0x85, 0xA0]] = _FAR
+    return out
+
+
+_KIND = _kinds()
+_KIND_OF_BYTE = np.concatenate([_KIND[:128], np.full(128, _FAR, np.uint8)])
+
+
+def pretokens(data: np.ndarray, offsets: np.ndarray, pattern: regex.Pattern | None = None) -> np.ndarray:
+    """The first byte of each pre-token; they cover the texts without gaps. By the default pattern with array
+    operations where a text has no character from U+0240 on, else (or for another pattern) by the pattern itself."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = _KIND_OF_BYTE[data]
+    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC8))
+    kind[lead] = kind[lead + 1] = _KIND[((data[lead].astype(np.int64) & 31) << 6) | (data[lead + 1] & 63)]
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    last = first[1:]
+    first = first[:-1]
+    starts = first.copy()
+    starts[1:] |= kind[1:] != kind[:-1]
+    # a space goes with what follows it
+    space = (kind == _SPACE) & ~last
+    space[:-1] &= kind[1:] != _SPACE
+    at = np.flatnonzero(space)  # the last white space before something else
+    starts[at] = True
+    at = at[data[at] == 32]
+    starts[at + 1] = False
+    # contractions
+    at = np.flatnonzero((data == _APOSTROPHE) & starts & ~last)
+    if len(at):
+        stop = offsets[np.searchsorted(offsets, at, "right")]
+        one, two = data[at + 1], data[np.minimum(at + 2, n - 1)]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = (at + 2 < stop) & ((one == 114) & (two == 101) | (one == 118) & (two == 101) | (one == 108) & (two == 108))
+        starts[at[short | long] + 1] = False
+        for some, size in ((short, 2), (long, 3)):
+            after = at[some] + size
+            starts[after[after < stop[some]]] = True
+    far = np.unique(np.searchsorted(offsets, np.flatnonzero(kind == _FAR), "right") - 1) if pattern is None else np.arange(len(offsets) - 1)
+    for row in far.tolist():
+        a, b = int(offsets[row]), int(offsets[row + 1])
+        sizes = [len(w.encode()) for w in (pattern or _GENERAL).findall(data[a:b].tobytes().decode())]
+        starts[a:b] = False
+        starts[a + np.cumsum([0, *sizes[:-1]]) if sizes else []] = True
+    return np.flatnonzero(starts)
+
+
+_GENERAL = regex.compile(PATTERN)
+
+
+class Known:
+    """An open-addressing table from hashes to numbers, asked and filled by whole arrays."""
+
+    def __init__(self, slots: int):
+        self.keys, self.values, self.mask = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.uint64(slots - 1)
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """Their numbers, -1 for those that aren't there."""
+        out = np.full(len(hashes), -1, np.int64)
+        at, left = (hashes & self.mask).astype(np.int64), np.arange(len(hashes))
+        wanted = hashes
+        while len(left):
+            key = self.keys[at]
+            hit = key == wanted
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (key != 0)
+            left, wanted, at = left[on], wanted[on], (at[on] + 1) & int(self.mask)
         return out
 
-    for inside, k in ((r"\p{L}", "L"), (r"\p{N}", "N"), (r"\s", "S")):
-        pattern = re.sub(r"\[\^[^\]]*\]", lambda m, a=inside, b=spans(of[k]): m[0].replace(a, b), pattern)
-        pattern = pattern.replace(inside, f"[{spans(of[k])}]")
-    return re.compile(pattern.replace(r"\S", f"[^{spans(of['S'])}]"))
+    def put(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Hashes that are all different and not there yet."""
+        at = (hashes & self.mask).astype(np.int64)
+        while len(hashes):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[free]
+            own = free & (self.keys[at] == hashes)
+            self.values[at[own]] = values[own]
+            hashes, values, at = hashes[~own], values[~own], (at[~own] + 1) & int(self.mask)
 
 
 class Vocabulary:
@@ -89,8 +157,7 @@ class Vocabulary:
         self.token_size = np.array([len(t) for t in tokens], np.int64)
         self.token_start = np.cumsum(self.token_size) - self.token_size
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.pattern, self.quick = regex.compile(pattern), _quick(pattern)
-        self.far = re.compile("[^\u0000-ɏ]")
+        self.pattern = None if pattern == PATTERN else regex.compile(pattern)
         self._forget()
 
     # --- merging -----------------------------------------------------------------------------------------
@@ -172,53 +239,48 @@ class Vocabulary:
     # --- words -------------------------------------------------------------------------------------------
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.count, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
-        self.used = 0
-
-    def split(self, text: str) -> list[str]:
-        return (self.pattern if self.far.search(text) else self.quick).findall(text)
-
-    def learn(self, words: list[str]) -> np.ndarray:
-        """The number of each word among the known ones; new words are merged first, all at once."""
-        new = list(set(words).difference(self.known))
-        if len(self.known) + len(new) > KEPT and self.known:
-            self._forget()
-            new = list(set(words))
-        if new:
-            raw = [w.encode() for w in new]
-            lengths = np.array([len(r) for r in raw], np.int64)
-            whole = np.array([self.ranks.get(r, -1) for r in raw], np.int64)
-            rest = np.flatnonzero(whole < 0)
-            ids, sizes = self.merge(self.single[np.frombuffer(b"".join(raw[i] for i in rest.tolist()), np.uint8)], lengths[rest])
-            counts = np.ones(len(new), np.int64)
-            counts[rest] = sizes
-            first = np.cumsum(counts) - counts
-            flat = np.empty(int(counts.sum()), np.int32)
-            flat[first[whole >= 0]] = whole[whole >= 0]
-            flat[ranges(first[rest], sizes)] = ids
-            n, top = len(self.known), self.used + len(flat)
-            while len(self.start) < n + len(new):
-                self.start, self.count = np.concatenate([self.start] * 2), np.concatenate([self.count] * 2)
-            while len(self.flat) < top:
-                self.flat = np.concatenate([self.flat] * 2)
-            self.start[n : n + len(new)], self.count[n : n + len(new)] = first + self.used, counts
-            self.flat[self.used : top], self.used = flat, top
-            self.known.update(zip(new, range(n, n + len(new))))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Keep only the vocabulary's own tokens, each a word of one symbol."""
+        self.known = Known(1 << 20)
+        self.entries = self.used = self.size
+        self.start, self.count, self.flat = np.arange(self.size), np.ones(self.size, np.int64), np.arange(self.size, dtype=np.int32)
+        real = np.flatnonzero(self.token_size)
+        self.known.put(byte_hashes(self.token_bytes, self.token_start[real], self.token_start[real] + self.token_size[real]), real.astype(np.int32))
+
+    def _learn(self, flat: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> None:
+        ids, sizes = self.merge(self.single[flat], lengths)
+        n, more, top = self.entries, len(lengths), self.used + len(ids)
+        grow = lambda x, to: x if len(x) >= to else np.concatenate([x, np.zeros(max(to, 2 * len(x)) - len(x), x.dtype)])
+        self.start, self.count, self.flat = grow(self.start, n + more), grow(self.count, n + more), grow(self.flat, top)
+        self.start[n : n + more], self.count[n : n + more] = np.cumsum(sizes) - sizes + self.used, sizes
+        self.flat[self.used : top] = ids
+        self.known.put(hashes, np.arange(n, n + more, dtype=np.int32))
+        self.entries, self.used = n + more, top
+
+    def entries_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the entry of each pre-token, pre-tokens before each row's end with a leading 0). Words are told apart
+        by 64-bit hashes; those not met before are merged first, all at once."""
+        data, offsets = utf8(texts)
+        starts = pretokens(data, offsets, self.pattern)
+        ends = np.concatenate([starts[1:], [len(data)]]) if len(starts) else starts
+        hashes = byte_hashes(data, starts, ends)
+        at = self.known.get(hashes)
+        if (new := np.flatnonzero(at < 0)).size:
+            if self.entries - self.size + len(np.unique(hashes[new])) > KEPT and self.entries > self.size:
+                self._forget()
+                new = np.flatnonzero(self.known.get(hashes) < 0)
+            unique, first = np.unique(hashes[new], return_index=True)
+            for k in range(0, len(unique), KEPT):
+                word = new[first[k : k + KEPT]]
+                lengths = ends[word] - starts[word]
+                self._learn(data[ranges(starts[word], lengths)], lengths, unique[k : k + KEPT])
+            at = self.known.get(hashes)
+        return at, np.searchsorted(starts, offsets)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has."""
-        words: list[str] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                words += self.split(text)
-            ends[i + 1] = len(words)
-        at = self.learn(words)
+        at, ends = self.entries_of(texts)
         counts = self.count[at]
-        sums = np.concatenate([[0], np.cumsum(counts)])[ends]
-        return self.flat[ranges(self.start[at], counts)], np.diff(sums)
+        return self.flat[ranges(self.start[at], counts)], np.diff(np.concatenate([[0], np.cumsum(counts)])[ends])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 of all sequences one after the other, and the bytes of each."""
@@ -257,7 +319,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             for part in slices(batch, "text"):
                 texts = part.column("text")
                 null = np.asarray(texts.is_null())
-                ids, counts = v.encode(texts.to_pylist())
+                ids, counts = v.encode(texts)
                 out = {"doc_id": part.column("doc_id"), "token_ids": id_lists(ids, counts, null)}
                 if decoded:
                     out["decoded"] = strings(*v.decode(ids, counts), null)

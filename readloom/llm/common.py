@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readloom.plans.session import reachable
 
@@ -99,3 +100,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(32))
+
+
+#: Sides of joins are broadcast up to this size, which is counted first; larger ones are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def sized(df: DataFrame, bytes_per_row: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The smaller side of a join, already stored: broadcast if its rows, counted, are few enough."""
+    return F.broadcast(df) if df.count() * bytes_per_row <= most else df.hint("shuffle_hash")
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the narrowest type that holds them; the first byte names it."""
+    top = int(values.max()) if len(values) else 0
+    kind = next(k for k, bits in (("B", 8), ("H", 16), ("I", 32), ("Q", 64)) if top < 1 << bits)
+    return kind.encode() + values.astype(kind).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, chr(raw[0]), offset=1).astype(np.uint64 if raw[:1] == b"Q" else np.int64)

@@ -2,8 +2,8 @@
 
 The pre-tokens of a batch of texts are held as ragged numpy arrays (a flat array of symbols and the lengths of
 its rows). In each round every row applies its lowest-rank pair, all rows at the same time; a row with no
-mergeable pair left has as many tokens as it has symbols. Only the counts are kept, no ids. A pre-token is
-merged once for a batch, and its count kept for later batches of the same worker.
+mergeable pair left has as many tokens as it has symbols, and the counts of a text's rows are summed. A
+pre-token is merged once, and its count kept for later batches of the same worker (see ``bpe``).
 
 Defined results: a null text has a null count, an empty one 0; ids, nulls in other columns and repeated rows
 pass through; further columns are dropped; an empty table gives an empty table.
@@ -18,37 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.bpe import KEPT, PATTERN, VOCABULARY, Vocabulary, vocabulary
+from readloom.llm.bpe import PATTERN, VOCABULARY, vocabulary
 from readloom.llm.common import in_batches, slices, table
 
 
-def surviving(v: Vocabulary, rows: list[bytes]) -> np.ndarray:
-    """How many symbols each row has when nothing can be merged any more."""
-    lengths = np.array([len(r) for r in rows], np.int64)
-    whole = np.array([r in v.ranks for r in rows], bool)
-    rest = np.flatnonzero(~whole & (lengths > 0))
-    counts = whole.astype(np.int64)
-    if len(rest):
-        counts[rest] = v.merge(v.single[np.frombuffer(b"".join(rows[i] for i in rest.tolist()), np.uint8)], lengths[rest])[1]
-    return counts
-
-
-def count(v: Vocabulary, known: dict[str, int], texts: list[str | None]) -> np.ndarray:
-    words: list[str] = []
-    ends = np.zeros(len(texts) + 1, np.int64)
-    for i, text in enumerate(texts):
-        if text:
-            words += v.split(text)
-        ends[i + 1] = len(words)
-    new = list(set(words).difference(known))
-    if len(known) + len(new) > KEPT and known:
-        known.clear()
-        new = list(set(words))
-    known.update(zip(new, surviving(v, [w.encode() for w in new]).tolist()))
-    sums = np.concatenate([[0], np.cumsum(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))])
-    return np.diff(sums[ends])
-
-
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """doc_id and n_tokens."""
     df = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -56,11 +29,12 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
-        known: dict[str, int] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text")
-                counts = pa.array(count(v, known, texts.to_pylist()), pa.int64(), mask=np.asarray(texts.is_null()))
+                at, ends = v.entries_of(texts)
+                counts = np.diff(np.concatenate([[0], np.cumsum(v.count[at])])[ends])
+                counts = pa.array(counts, pa.int64(), mask=np.asarray(texts.is_null()))
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_tokens": counts})
 
     return in_batches(df, work, f"doc_id {kind}, n_tokens bigint")
