@@ -37,7 +37,9 @@ def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     n = len(data)
     power, inverse = _powers(1 << max(21, int(n).bit_length()))
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
+    np.take(_BYTE, data, out=total[1:])
+    total[1:] *= power[:n]
+    np.cumsum(total, out=total)
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
