@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import in_batches, reachable, stored, table
+from readloom.llm.common import in_batches, ranges, reachable, stored, table
 
 K = 10
-BLOCK = 8192
+BLOCK = 4096
 EPSILON = 2.5
 SEED = 20
 _TILE = 512
@@ -57,46 +57,74 @@ def encode(vectors: np.ndarray, centres: np.ndarray, turn: np.ndarray) -> tuple[
 
 
 class Block:
-    """Codes to be searched."""
+    """Codes to be searched, in the order of their cells."""
 
     def __init__(self, ids, vectors, cells, codes, length, fit, centres, turn):
-        self.ids, self.vectors, self.cells, self.length, self.turn = ids, vectors, cells, length, turn
+        order = np.argsort(cells, kind="stable")
+        self.ids, self.vectors, self.cells, self.length, self.turn = ids[order], vectors[order], cells[order], length[order], turn
         dim = vectors.shape[1]
-        self.signs = _signs(codes, dim)
-        self.fit = np.maximum(fit, 1e-3)
-        self.own = np.unique(cells)
+        self.signs = _signs(codes[order], dim)
+        self.fit = np.maximum(fit[order], 1e-3)
+        self.own, self.start, self.column = np.unique(self.cells, return_index=True, return_inverse=True)
+        self.stop = np.append(self.start[1:], len(self.cells))
         self.centres = centres[self.own]
-        self.column = np.searchsorted(self.own, cells)
+        self.radius = np.maximum.reduceat(self.length, self.start) if len(self.cells) else np.zeros(0)
         self.shift = ((self.centres @ turn)[self.column] * self.signs).sum(axis=1)
         self.error = (np.sqrt(np.maximum(1 - self.fit**2, 0)) / self.fit * (EPSILON / np.sqrt(max(dim - 1, 1)))).astype(np.float32)
 
+    def _bounds(self, turned: np.ndarray, away: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vectors of the cells, lower and upper bound of each query's squared distance to each)."""
+        at = ranges(self.start[cells], self.stop[cells] - self.start[cells])
+        far = away[:, self.column[at]]
+        length = self.length[at]
+        middle = (turned @ self.signs[at].T - self.shift[at]) * (-2 * length / self.fit[at]) + far
+        middle += length**2
+        slack = np.sqrt(far, out=far)
+        slack *= 2 * length * self.error[at]
+        slack += 1e-5
+        return at, middle - slack, middle + slack
+
     def search(self, ids: np.ndarray, queries: np.ndarray, within: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query's id, neighbour's id, similarity) of the k best each, of squared distance ``within`` at most."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for at in range(0, len(ids), _TILE):
-            q, qid, most = queries[at : at + _TILE], ids[at : at + _TILE], within[at : at + _TILE]
-            away = np.maximum(2 - 2 * (q @ self.centres.T) + (self.centres**2).sum(axis=1) - 1, 0)  # squared, to each centre
-            away = away[:, self.column]
-            dot = ((q @ self.turn) @ self.signs.T - self.shift) / self.fit
-            middle = away + self.length**2 - 2 * self.length * dot
-            slack = 2 * self.length * self.error * np.sqrt(away) + 1e-5
-            same = qid[:, None] == self.ids[None, :]
-            upper = middle + slack
+        for s in range(0, len(ids), _TILE):
+            q, qid, most = queries[s : s + _TILE], ids[s : s + _TILE], within[s : s + _TILE].astype(np.float32)
+            away = np.maximum((q**2).sum(axis=1)[:, None] - 2 * (q @ self.centres.T) + (self.centres**2).sum(axis=1), 0)  # squared, to each centre
+            turned = q @ self.turn
+            if np.isinf(most).any():  # the cells nearest to the tile's queries, until they hold k others, bound all else
+                near = np.unique(away.argmin(axis=1))
+                for c in np.argsort(away.mean(axis=0)):
+                    if (self.stop[near] - self.start[near]).sum() > k:
+                        break
+                    near = np.union1d(near, [c])
+                at, _, upper = self._bounds(turned, away, near)
+                upper[qid[:, None] == self.ids[at][None, :]] = np.inf
+                if upper.shape[1] > k:
+                    most = np.minimum(most, np.partition(upper, k - 1, axis=1)[:, k - 1])
+            reach = np.sqrt(most)[:, None] + self.radius[None, :]
+            cells = np.flatnonzero((away <= np.where(np.isinf(reach), np.inf, (reach + 1e-4) ** 2)).any(axis=0))
+            if not len(cells):
+                continue
+            at, lower, upper = self._bounds(turned, away, cells)
+            same = qid[:, None] == self.ids[at][None, :]
             upper[same] = np.inf
-            if len(self.ids) > k:
+            if len(at) > k:
                 most = np.minimum(most, np.partition(upper, k - 1, axis=1)[:, k - 1])
-            row, col = np.nonzero((middle - slack <= most[:, None]) & ~same)
-            if not len(row):
+            candidate = (lower <= most[:, None]) & ~same
+            some = np.flatnonzero(candidate.any(axis=0))
+            if not len(some):
                 continue
-            exact = np.empty(len(row))
-            for s in range(0, len(row), 1 << 18):
-                exact[s : s + (1 << 18)] = np.einsum("ij,ij->i", q[row[s : s + (1 << 18)]].astype(np.float64), self.vectors[col[s : s + (1 << 18)]].astype(np.float64))
-            order = np.lexsort((self.ids[col], -exact, row))
-            row, col, exact = row[order], col[order], exact[order]
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            rank = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
-            top = rank < k
-            out.append((qid[row[top]], self.ids[col[top]], exact[top]))
+            # the exact comparison of the candidates; then the k best, with all that tie for the last place
+            exact = np.where(candidate[:, some], q @ self.vectors[at[some]].T, np.float32(-9))
+            last = np.partition(exact, len(some) - k, axis=1)[:, len(some) - k] if len(some) > k else np.full(len(q), np.float32(-8))
+            row, col = np.nonzero(exact >= np.maximum(last, np.float32(-8))[:, None] - np.float32(1e-6))
+            col = at[some[col]]
+            value = np.einsum("ij,ij->i", q[row].astype(np.float64), self.vectors[col].astype(np.float64))
+            order = np.lexsort((self.ids[col], -value, row))
+            row, col, value = row[order], col[order], value[order]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+            top = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+            out.append((qid[row[top]], self.ids[col[top]], value[top]))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
@@ -186,7 +214,9 @@ def nearest(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "e
         return table_of(b.search(b.ids, b.vectors, np.full(len(b.ids), np.inf), k))
 
     pairs = "vec_id bigint, neighbour bigint, similarity double"
-    own = stored(placed.groupBy("block").applyInArrow(within_block, pairs), "near")
+    blocks = len({first[c] + i for c in sizes for i in range(parts[c])})
+    # the number of partitions is given: by their bytes few would do, by their work each block is a task
+    own = stored(placed.repartition(2 * blocks, "block").groupBy("block").applyInArrow(within_block, pairs), "near")
     # how far a query's k-th neighbour can be: 4 (opposite) where its block has fewer than k others
     reach = own.groupBy("vec_id").agg(F.when(F.count("*") >= k, 2 - 2 * F.min("similarity")).otherwise(4.0).alias("within"))
     placed = stored(placed.join(reach, "vec_id", "left").withColumn("within", F.coalesce("within", F.lit(4.0)).cast("float")), "placed")
@@ -204,7 +234,7 @@ def nearest(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "e
 
     def across(key: tuple, rows: pa.Table) -> pa.Table:
         asks = rows.column("asks").to_numpy(zero_copy_only=False)
-        b, q = load(rows.filter(pa.array(~asks))), rows.filter(pa.array(asks))
+        b, q = load(rows.filter(pa.array(~asks))), rows.filter(pa.array(asks)).sort_by("cell")
         return table_of(b.search(q.column("vec_id").to_numpy(), _matrix(q.column("v"), np.float32, dim), q.column("within").to_numpy().astype(np.float64) + 1e-6, k))
 
     found = own
@@ -214,7 +244,8 @@ def nearest(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "e
         asked = placed.join(F.broadcast(spark.createDataFrame(sorted({(v[0], v[2]) for v in visits}), "from int, block int")), "block").withColumn("asks", F.lit(False))
         cols = ["vec_id", "cell", "v", "code", "length", "fit", "within", "asks"]
         both = asking.select(F.col("block").alias("from"), F.col("other").alias("to"), *cols).union(asked.select("from", F.col("block").alias("to"), *cols))
-        found = own.union(both.groupBy("from", "to").applyInArrow(across, pairs))
+        tasks = len({(v[0], v[2]) for v in visits})
+        found = own.union(both.repartition(2 * tasks, "from", "to").groupBy("from", "to").applyInArrow(across, pairs))
     order = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour", "similarity")
 
