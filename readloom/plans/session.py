@@ -10,10 +10,19 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's own default is many times that, and the batch is
+#: held by the executor and by the worker, for each task.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def reachable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where it is installed on every machine."""
+    """Let Python workers import this package from where it is installed on every machine, in batches of a few MB."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    value = spark.conf.get(_BATCH)
+    if not value.rstrip("bB").isdigit() or int(value.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark
