@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import inspect
 import tempfile
 import uuid
 
@@ -46,9 +48,38 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return the memory that a finished task has freed: workers live on, several to an executor, and what one
+    keeps for itself is missing to the others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def in_batches(df: DataFrame, work, schema: str) -> DataFrame:
     reachable(df.sparkSession)
-    return df.mapInArrow(work, schema)
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def in_groups(grouped, work, schema: str) -> DataFrame:
+    def run(*args):
+        try:
+            return work(*args)
+        finally:
+            give_back()
+
+    # Spark looks at the number of parameters: a key comes first if there is one more
+    if len(inspect.signature(work).parameters) == 2:
+        return grouped.applyInArrow(lambda a, b: run(a, b), schema)
+    return grouped.applyInArrow(lambda a: run(a), schema)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +97,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000):
+def slices(batch: pa.RecordBatch, column: int, most: int = 1_000_000):
     """Split a batch so that a slice holds about ``most`` bytes of text (one row at least)."""
     sizes = np.diff(utf8(batch.column(column))[1])
     start, held = 0, 0

@@ -35,7 +35,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each range of bytes, from sums over all bytes: the cost doesn't depend on the ranges."""
     n = len(data)
-    power, inverse = _powers(1 << max(21, int(n).bit_length()))
+    power, inverse = _powers(1 << max(20, int(n).bit_length()))
     total = np.zeros(n + 1, np.uint64)
     np.take(_BYTE, data, out=total[1:])
     total[1:] *= power[:n]
