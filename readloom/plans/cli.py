@@ -40,7 +40,8 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
-def demux(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> None:
+def demux(spark: SparkSession, args: argparse.Namespace) -> None:
+    out = sys.stdout
     raw = parse_json(Path(args.config).read_text())
     for patch in args.replace:
         raw = patched(raw, patch)
@@ -75,7 +76,8 @@ def demux(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> None
     write_json(raw, str(root / "config.json"))
 
 
-def lines(spark: SparkSession, args: argparse.Namespace, out=sys.stdout) -> None:
+def lines(spark: SparkSession, args: argparse.Namespace) -> None:
+    out = sys.stdout
     files = [stdin_lines(spark) if f == "-" else read_lines(spark, f) for f in args.files or ["-"]]
     if args.output and Path(args.output).exists() and not args.force:
         raise FileExistsError(f"{args.output} exists; -f replaces it")
