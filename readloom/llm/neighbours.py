@@ -218,7 +218,7 @@ def nearest(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "e
     # the number of partitions is given: by their bytes few would do, by their work each block is a task
     own = stored(placed.repartition(2 * blocks, "block").groupBy("block").applyInArrow(within_block, pairs), "near")
     # how far a query's k-th neighbour can be: 4 (opposite) where its block has fewer than k others
-    reach = own.groupBy("vec_id").agg(F.when(F.count("*") >= k, 2 - 2 * F.min("similarity")).otherwise(4.0).alias("within"))
+    reach = own.groupBy("vec_id").agg(F.when(F.count("*") >= k, F.greatest(F.lit(0.0), 2 - 2 * F.min("similarity"))).otherwise(4.0).alias("within"))
     placed = stored(placed.join(reach, "vec_id", "left").withColumn("within", F.coalesce("within", F.lit(4.0)).cast("float")), "placed")
 
     # which blocks can hold a neighbour of a cell's queries: |query - centre| is at most the cell's radius

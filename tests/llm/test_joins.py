@@ -140,7 +140,7 @@ def test_words_and_grams():
 
 
 def packed(df, capacity, **more):
-    rows = packing.pack_documents(df, capacity, **more).collect()
+    rows = packing.pack_documents(df, capacity, **{"rounds": 40} | more).collect()
     at = {}
     for r in rows:
         at.setdefault(r.bin, []).append((r.offset, r.length))
@@ -179,14 +179,14 @@ def test_packing_documents(spark, docs, odd, none, capacity):
 
 def test_packing_in_parts(spark, docs):
     rows, at = packed(docs, 64, part_rows=3)
-    assert len(rows) == len(set((r.bin, r.offset) for r in rows)) == packing.pack_documents(docs, 64).count()
+    assert len(rows) == len(set((r.bin, r.offset) for r in rows)) == packing.pack_documents(docs, 64, rounds=5).count()
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_program_against_bounds(seed):
     rng = np.random.default_rng(seed)
     lengths = np.unique(rng.integers(1, 1000, 60))
-    counts = rng.integers(1, 3000, len(lengths))
+    counts = rng.integers(1, 60, len(lengths))
     runs = packing.solve(lengths, counts, 1000)
     assert (sum(p * b for p, b in runs) == counts).all() and all((p * lengths).sum() <= 1000 for p, _ in runs)
     bins = sum(b for _, b in runs)
@@ -230,7 +230,7 @@ def test_neighbours_recall(spark):
 def test_neighbours_ties_and_few(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((20, 9))
-    assert recall(spark, list(range(300)), np.concatenate([base] * 15) * rng.random((300, 1)), block=64) >= 0.9
+    assert recall(spark, list(range(300)), np.concatenate([base] * 15), block=64) >= 0.99  # copies: by id
     assert recall(spark, [5, 9, 2], rng.standard_normal((3, 4))) == 1.0
 
 
