@@ -7,13 +7,21 @@ smaller size must be at least t / (2 - t) of the larger, so most units have no c
 templates are never compared. The unit's count of bigrams known from any template bounds what it can have in
 common; what is left is compared exactly. A unit counts for the template it fits best (ties: the first name).
 
-Result: a row for each document and licence found, with the highest Dice and the line where that unit starts
+A licence may also lie inside a longer line, or next to another one: for each template, all windows of a text's
+words, over lines as well, are held against it. The best window begins and ends with bigrams of the template, and
+holds at least t / (2 - t) of them within (2 - t) / t of its size; only where they lie so dense are windows
+compared, exactly. Of one template's overlapping windows the best counts, unless more than half of it lies in
+windows of other templates that have more bigrams in common with the text, or that are a unit's own.
+
+Result: a row for each document and licence found, with the highest Dice and the line where that unit or window starts
 (from 1; ties: the first). Defined results: null and empty texts match nothing; a null id is carried like any
 other; repeated rows give repeated results; further columns are dropped; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +36,8 @@ from readloom.llm.grams import ngrams, words
 from readloom.llm.templates import TEMPLATES
 
 THRESHOLD = 0.8
+#: Cells of the tables by which windows are compared.
+CELLS = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -36,7 +46,9 @@ def _templates(items: tuple[tuple[str, str], ...]):
     hashes, ends, *_ = words(pa.array([text for _, text in items]))
     rows, grams = ngrams(hashes, ends, 2)
     bags = [Counter(grams[rows == i].tolist()) for i in range(len(items))]
-    return names, bags, np.array([sum(b.values()) for b in bags]), np.unique(grams)
+    known = np.unique(grams)
+    times = np.array([[b[g] for g in known.tolist()] for b in bags], np.int64).reshape(len(bags), len(known))
+    return names, bags, np.array([sum(b.values()) for b in bags]), known, times
 
 
 def _member(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -44,9 +56,56 @@ def _member(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_keys[at] == values
 
 
+def _windows(at: np.ndarray, gram: np.ndarray, row: np.ndarray, times: np.ndarray, threshold: float) -> list[tuple[int, int, int, float]]:
+    """(first and last bigram, common, dice) of the windows that fit a template, none overlapping another.
+    at, gram, row: place, number and row of the text's bigrams that the template has; times: how often it has each."""
+    s = int(times.sum())
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    need, most = max(1, math.ceil(low * s - 1e-9)), math.floor(high * s + 1e-9)
+    m = len(at)
+    if m < need:
+        return []
+    reach = np.minimum(np.searchsorted(at, at + most), np.searchsorted(row, row, "right"))  # the end of what a window from here can hold
+    starts = np.flatnonzero(reach - np.arange(m) >= need)
+    if not starts.size:
+        return []
+    # a bigram counts only in windows that begin behind its last occurrence but as many as the template has
+    order = np.argsort(gram, kind="stable")
+    back = times[gram[order]]
+    place = np.arange(m)
+    first = np.searchsorted(gram[order], gram[order])
+    before = np.full(m, -1)
+    some = place - back >= first
+    before[order[some]] = order[(place - back)[some]]
+    found = []
+    step = max(1, min(max(64, s), CELLS // most))
+    for i in range(0, len(starts), step):
+        some = starts[i : i + step]
+        a, z = int(some[0]), int(reach[some].max())
+        dense = np.minimum(np.bincount(gram[a:z], minlength=len(times)), times).sum() >= need if z - a < 8 * step + most else True
+        if not dense:
+            continue
+        inside = some[:, None] + np.arange(int((reach[some] - some).max()))
+        ok = inside < reach[some][:, None]
+        inside = np.minimum(inside, m - 1)
+        common = np.cumsum(ok & (before[inside] < some[:, None]), axis=1)
+        dice = np.where(ok, 2 * common / (at[inside] - at[some][:, None] + 1 + s), 0)
+        best = dice.argmax(axis=1)
+        take = np.arange(len(some))
+        for j in np.flatnonzero(dice[take, best] >= threshold).tolist():
+            found.append((-float(dice[j, best[j]]), -int(common[j, best[j]]), int(at[some[j]]), int(at[inside[j, best[j]]])))
+    out, taken = [], []
+    for d, c, a, z in sorted(found):
+        k = bisect.bisect(taken, (a, z))
+        if (k == 0 or taken[k - 1][1] < a) and (k == len(taken) or taken[k][0] > z):
+            taken.insert(k, (a, z))
+            out.append((a, z, -c, -d))
+    return out
+
+
 def matches(texts: pa.Array, items: tuple[tuple[str, str], ...], threshold: float) -> list[tuple[int, str, float, int]]:
     """(row, licence, dice, line) of a batch."""
-    names, bags, sizes, known = _templates(items)
+    names, bags, sizes, known, times = _templates(items)
     hashes, ends, starts, data, offsets = words(texts)
     if len(hashes) < 1:
         return []
@@ -62,7 +121,7 @@ def matches(texts: pa.Array, items: tuple[tuple[str, str], ...], threshold: floa
     pair = np.zeros(len(hashes), bool)  # the word and the next one, of the same row, are a known bigram
     rows_of_words = row_of_line[line_of]
     both = rows_of_words[1:] == rows_of_words[:-1]
-    at, grams = ngrams(hashes, np.array([0, len(hashes)]), 2)
+    _, grams = ngrams(hashes, np.array([0, len(hashes)]), 2)
     if len(hashes) > 1:
         pair[:-1] = _member(known, grams[: len(hashes) - 1]) & both
     same_line = np.zeros(len(hashes), bool)
@@ -91,6 +150,7 @@ def matches(texts: pa.Array, items: tuple[tuple[str, str], ...], threshold: floa
             if b - a > 1 and ((sizes * low <= n) & (sizes * high >= n) & (2 * (inside[line_ends[b] - 1] - inside[line_ends[a]]) >= threshold * (n + sizes))).any():
                 units.append((a, b))
     best: dict[tuple[int, str], tuple[float, int]] = {}
+    whole: dict[str, list[tuple[int, int]]] = {}  # bigrams of the units of each licence
     for a, b in units:
         own = Counter(grams[line_ends[a] : line_ends[b] - 1].tolist())
         n = line_ends[b] - line_ends[a] - 1
@@ -103,6 +163,23 @@ def matches(texts: pa.Array, items: tuple[tuple[str, str], ...], threshold: floa
             row = int(row_of_line[a])
             key, value = (row, found[1]), (-found[0], a - int(row_first[row]) + 1)
             best[key] = min(best.get(key, value), value)
+            whole.setdefault(found[1], []).append((int(line_ends[a]), int(line_ends[b]) - 2))
+    at = np.flatnonzero(pair)
+    number, row_of = np.searchsorted(known, grams[at]), rows_of_words[at]
+    inner = []
+    for i in np.flatnonzero(sizes > 0).tolist():
+        own = np.flatnonzero(times[i][number])
+        spans = sorted(whole.get(names[i], []))
+        for a, z, common, dice in _windows(at[own], number[own], row_of[own], times[i], threshold):
+            k = bisect.bisect(spans, (a, len(hashes))) - 1
+            inner.append((not (k >= 0 and spans[k][1] >= z), -common, -dice, names[i], a, z))
+    held = np.zeros(len(hashes), bool)
+    for _, _, d, name, a, z in sorted(inner):
+        if 2 * int(held[a : z + 1].sum()) <= z - a + 1:
+            held[a : z + 1] = True
+            row = int(rows_of_words[a])
+            key, value = (row, name), (d, int(line_of[a]) - int(row_first[row]) + 1)
+            best[key] = min(best.get(key, value), value)
     return [(row, name, -d, line) for (row, name), (d, line) in sorted(best.items())]
 
 

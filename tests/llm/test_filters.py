@@ -1,5 +1,7 @@
+import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,5 +121,37 @@ def test_licences_over_many_lines(spark):
     assert got == {(1, "mit/body", 3), (2, "mit/notice", 1), (4, "mit/body", 1)}
 
 
+def test_licences_inside_lines_and_next_to_each_other(spark):
+    wrap = lambda t: "\n".join(" ".join(t.split()[i : i + 11]) for i in range(0, len(t.split()), 11))
+    mit, isc = wrap(TEMPLATES["mit/body"]), wrap(TEMPLATES["isc/body"])
+    rows = [
+        (1, "Copyright 2020 Foo Inc. All rights reserved."), (2, "Copyright 2020 Foo. Released under the MIT License."),
+        (3, "Some words.\nOf this, licensed under CC BY-NC 4.0 as it is, one may say: all\nrights reserved, and much else."),
+        (4, f"{mit}\n\n{isc}"), (5, f"{mit}\n\nLicence\n{mit}"), (6, f"One line and {TEMPLATES['apache-2.0/header']} more of it"),
+    ]
+    got = {(r.doc_id, r.licence, r.dice, r.line) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    after = mit.count("\n") + 3
+    assert got == {
+        (1, "proprietary/notice", 1, 1), (2, "mit/notice", 1, 1), (3, "cc-by-nc-4.0/notice", 1, 2), (3, "proprietary/notice", 1, 2),
+        (4, "mit/body", 1, 1), (4, "isc/body", 1, after), (5, "mit/body", 1, 1), (6, "apache-2.0/header", 1, 1),
+    }
+
+
+@pytest.mark.parametrize("template", ["a b a c a b d a", "x y", "a b c d e f g"])
+def test_licence_windows_equal_brute_force(template):
+    pick, texts = random.Random(7), []
+    for _ in range(60):
+        body = [w for w in template.split() if pick.random() > 0.1 for w in ([w] if pick.random() > 0.1 else [w, "z"])]
+        texts.append(" ".join([*pick.choices("abcdxyz", k=pick.randrange(9)), *body, *pick.choices("abcdxyz", k=pick.randrange(9))]))
+    want = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        dice = max((brute_dice(" ".join(w[a:b]), template) for a in range(len(w)) for b in range(a + 2, len(w) + 1)), default=0)
+        if dice >= licences.THRESHOLD:
+            want[i] = dice
+    got = {row: dice for row, _, dice, _ in licences.matches(pa.array(texts), (("t", template),), licences.THRESHOLD)}
+    assert got == pytest.approx(want) and 10 < len(got)
+
+
 def test_licences_odd_rows(odd, none):
     assert not licences.licence_scan(odd).collect() and not licences.licence_scan(none).collect()
