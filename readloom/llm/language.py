@@ -2,13 +2,14 @@
 
 Bit-sliced Bloom filters: one table of slots, each a mask with a bit for each language. An n-gram of a
 language sets the language's bit in ``HASHES`` slots; the AND of an n-gram's slots is the set of all languages
-that contain it, for one look-up whatever their number (64 at most). Over a document the bits are counted by
+that contain it, for one look-up for every 64 of them, whatever their number: beyond 64 there are several such
+tables, each of at most 8 MB. Over a document the bits are counted by
 language. A filter with a share f of its bits set also answers yes to a share f**HASHES of the n-grams it
 never saw, so of n n-grams h hits stand for (h - n * fp) / (1 - fp) true ones. The language with most decides.
 
 The filters are fitted on labelled documents: of each language about ``PER_LANGUAGE`` (the bound), chosen by
-a hash of the id; n-grams that occur in ``MIN_SHARE_OF_DOCS`` of them (two documents at least) go in.
-Everything else covers all documents and whole texts.
+a hash of id and text; n-grams that occur in ``MIN_SHARE_OF_DOCS`` of them (two documents at least) go in.
+64 languages at a time are fitted, so that the driver holds the documents of no more. Everything else covers all documents and whole texts.
 
 ``keep`` is false for documents without a letter, and for those with ``MIN_GRAMS`` n-grams or more of which
 less than ``MIN_SHARE`` belong to the language that decides; shorter ones say too little to reject them.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ PER_LANGUAGE = 400
 MIN_SHARE_OF_DOCS = 0.01
 MIN_GRAMS = 40
 MIN_SHARE = 0.3
+#: Languages of one table.
+WORD = 64
+#: Numbers of a table of hits, of documents by language.
+CELLS = 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -74,27 +79,31 @@ def _slots(hashes: np.ndarray) -> list[np.ndarray]:
 @dataclass(frozen=True)
 class Filters:
     languages: list[str]
-    table: np.ndarray
+    table: np.ndarray  # of slots; where there are more than 64 languages, a row of slots for every 64
 
-    @property
+    @cached_property
     def false_positive(self) -> np.ndarray:
-        return np.array([float(((self.table >> i) & 1).mean()) ** HASHES for i in range(len(self.languages))])
+        tables = np.atleast_2d(self.table)
+        return np.array([float(((tables[i // WORD] >> tables.dtype.type(i % WORD)) & tables.dtype.type(1)).mean()) ** HASHES for i in range(len(self.languages))])
 
-    def masks(self, hashes: np.ndarray) -> np.ndarray:
+    def masks(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
+        """The masks of every 64 languages."""
         a, *more = _slots(hashes)
-        out = self.table[a]
-        for b in more:
-            out &= self.table[b]
-        return out
+        for row in np.atleast_2d(self.table):
+            out = row[a]
+            for b in more:
+                out &= row[b]
+            yield out
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams of each row, true hits by row and language)."""
         hashes, ends = grams(texts)
-        masks, n = self.masks(hashes), np.diff(ends)
+        n, fps = np.diff(ends), self.false_positive
         hits = np.zeros((len(texts), len(self.languages)))
-        for i, fp in enumerate(self.false_positive):
-            sums = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(i)) & masks.dtype.type(1), dtype=np.int64)])
-            hits[:, i] = np.maximum(sums[ends[1:]] - sums[ends[:-1]] - n * fp, 0) / max(1e-9, 1 - fp)
+        for k, masks in enumerate(self.masks(hashes)):
+            for i, fp in enumerate(fps[k * WORD : (k + 1) * WORD]):
+                sums = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(i)) & masks.dtype.type(1), dtype=np.int64)])
+                hits[:, k * WORD + i] = np.maximum(sums[ends[1:]] - sums[ends[:-1]] - n * fp, 0) / max(1e-9, 1 - fp)
         return n, hits
 
 
@@ -102,33 +111,38 @@ def fit(df: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id",
     df = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = {r[0]: r[1] for r in df.where("lang is not null").groupBy("lang").count().collect()}
     languages = sorted(counts)
-    if len(languages) > 64:
-        raise ValueError("more than 64 languages don't fit a mask")
-    share = F.lit(0)
-    for k in languages:
-        share = F.when(F.col("lang") == k, int(min(1.0, per_language / counts[k]) * (1 << 30))).otherwise(share)
-    rows = df.where("lang is not null and text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("lang", "text").toPandas()
-    kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits)
-    slots = np.zeros(SLOTS, kind)
-    for i, k in enumerate(languages):
-        texts = rows.text[rows.lang == k].tolist()
-        if not texts:
-            continue
-        hashes, ends = grams(texts)
-        of = np.repeat(np.arange(len(texts)), np.diff(ends))
-        order = np.lexsort((of, hashes))
-        hashes, of = hashes[order], of[order]
-        once = np.ones(len(of), bool)
-        once[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-        found, docs = np.unique(hashes[once], return_counts=True)
-        found = found[docs >= max(min(2, len(texts)), MIN_SHARE_OF_DOCS * len(texts))]
-        for slot in _slots(found):
-            slots[slot] |= kind(1 << i)
-    return Filters(languages, slots)
+    labelled = df.where("lang is not null and text is not null")
+    kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if min(len(languages), WORD) <= bits)
+    slots = np.zeros((max(1, -(-len(languages) // WORD)), SLOTS), kind)
+    for k in range(len(slots)):
+        some = languages[k * WORD : (k + 1) * WORD]
+        share = F.lit(0)
+        for name in some:
+            share = F.when(F.col("lang") == name, int(min(1.0, per_language / counts[name]) * (1 << 30))).otherwise(share)
+        rows = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share).select("lang", "text").toPandas()
+        for i, name in enumerate(some):
+            texts = rows.text[rows.lang == name].tolist()
+            if not texts:
+                continue
+            hashes, ends = grams(texts)
+            of = np.repeat(np.arange(len(texts)), np.diff(ends))
+            order = np.lexsort((of, hashes))
+            hashes, of = hashes[order], of[order]
+            once = np.ones(len(of), bool)
+            once[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+            found, docs = np.unique(hashes[once], return_counts=True)
+            found = found[docs >= max(min(2, len(texts)), MIN_SHARE_OF_DOCS * len(texts))]
+            for slot in _slots(found):
+                slots[k, slot] |= kind(1 << i)
+    return Filters(languages, slots if len(slots) > 1 else slots[0])
 
 
 def _verdicts(f: Filters, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language's number or -1, score, keep)."""
+    step = max(1, CELLS // max(1, len(f.languages)))
+    if len(texts) > step:
+        parts = [_verdicts(f, texts[i : i + step]) for i in range(0, len(texts), step)]
+        return tuple(np.concatenate(column) for column in zip(*parts))
     n, hits = f.scores(texts)
     best = hits.argmax(axis=1) if f.languages else np.zeros(len(texts), np.int64)
     top = hits[np.arange(len(texts)), best] if f.languages else np.zeros(len(texts))

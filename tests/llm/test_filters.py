@@ -88,6 +88,30 @@ def test_language_odd_rows(odd, none):
     assert {r.predicted for r in language.identify(odd, empty).collect()} == {None}
 
 
+def test_language_of_more_than_64(spark, monkeypatch):
+    pick = random.Random(5)
+    vocabulary = {f"l{i:02}": ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for i in range(130)}
+    rows = [(k, k + f" {i}", " ".join(pick.choices(words, k=30))) for k, words in vocabulary.items() for i in range(3)]
+    df = spark.createDataFrame(rows, "lang string, doc_id string, text string").coalesce(2)
+    filters = language.fit(df)
+    assert filters.languages == sorted(vocabulary) and len(filters.false_positive) == 130
+    for cells in (language.CELLS, 1000):
+        monkeypatch.setattr(language, "CELLS", cells)
+        names, score, keep = language._verdicts(filters, [r[2] for r in rows])
+        assert [filters.languages[i] for i in names] == [r[0] for r in rows] and keep.all() and score.min() > 0.5
+    got = {r.doc_id: r.predicted for r in language.identify(df, filters).collect()}
+    assert got == {r[1]: r[0] for r in rows}
+
+
+def test_language_bound_holds_without_ids(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("cast(null as bigint) doc_id", "concat('the text of number ', id) text", "if(id % 3 = 0, 'en', 'de') lang")
+    df = df.union(spark.range(2000).selectExpr("7L", "concat('le texte du nombre ', id)", "'fr'"))
+    seen, real = [], language.grams
+    monkeypatch.setattr(language, "grams", lambda texts: seen.append(len(texts)) or real(texts))
+    language.fit(df, per_language=100)
+    assert len(seen) == 3 and all(50 < n < 150 for n in seen)
+
+
 def brute_dice(a: str, b: str) -> float:
     grams = lambda t: Counter(zip(t.split(), t.split()[1:]))
     x, y = grams(a), grams(b)
