@@ -3,23 +3,24 @@
 The symbols of many distinct words lie in one flat array. The key of a pair is left * size + right; the
 lowest-rank pair of each word is found by binary search of its pairs in the sorted keys of all mergeable
 pairs. Each round applies every word's lowest-rank pair at once; only pairs next to a merge are looked up
-again, and words without a mergeable pair leave the array. Very long words (over ``LONG`` symbols) merge all
-occurrences of their lowest pair in a round where that can't bring a lower rank, so that rounds are bounded
-by the number of different pairs.
+again, and words without a mergeable pair leave the array. A word of more than ``LONG`` bytes would make as many
+rounds as it has merges; it goes alone, its pairs in a heap (n log n steps).
 
-Each Python worker keeps the words it has met (at most ``KEPT`` at a time, then it starts anew), so a word is
-merged once and not once per occurrence.
+Each Python worker keeps the words it has met (at most about ``KEPT`` at a time, then it starts anew), so a word
+is merged once and not once per occurrence. They are looked up by a hash with a seed of the worker's own, and
+what is found counts only if its bytes are the word's: no hash decides what a word becomes.
 
-Defined results: a null text gives null ids and a null decoding, an empty one no ids; ids, nulls in other
-columns and repeated rows pass through; further columns are dropped; an empty table gives an empty table.
+Defined results: a null text gives null ids and a null decoding, an empty one no ids; ids of any type, nulls in
+other columns and repeated rows pass through; further columns are dropped; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+import os
 from collections.abc import Iterator
-from functools import lru_cache
-from unicodedata import category
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,54 +29,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.common import in_batches, ranges, slices, table, utf8
-from readloom.llm.grams import byte_hashes
+from readloom.llm.grams import byte_hashes, byte_kinds, code_kinds, loads
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 512
 KEPT = 400_000
+KEPT_IDS = 16_000_000
 _NONE = np.int64(1 << 62)
 _LOW = np.int64((1 << 32) - 1)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 _APOSTROPHE = 39
-_LETTER, _NUMBER, _SPACE, _OTHER, _FAR = range(5)
+_LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 
 
+@lru_cache(maxsize=1)
 def _kinds() -> np.ndarray:
-    """The class of the code points below U+0240. Those of two-byte white space count as far: no fast way."""
-    out = np.full(0x240, _OTHER, np.uint8)
-    for c in range(0x240):
-        out[c] = {"L": _LETTER, "N": _NUMBER}.get(category(chr(c))[0], _OTHER)
-    out[[9, 10, 11, 12, 13, 32]] = _SPACE
-    out[[0x85, 0xA0]] = _FAR
-    return out
-
-
-_KIND = _kinds()
-_KIND_OF_BYTE = np.concatenate([_KIND[:128], np.full(128, _FAR, np.uint8)])
+    """The class of each code point."""
+    return code_kinds(r"\p{L}", r"\p{N}", r"\s")
 
 
 def pretokens(data: np.ndarray, offsets: np.ndarray, pattern: regex.Pattern | None = None) -> np.ndarray:
     """The first byte of each pre-token; they cover the texts without gaps. By the default pattern with array
-    operations where a text has no character from U+0240 on, else (or for another pattern) by the pattern itself."""
+    operations; by another one row by row."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    kind = _KIND_OF_BYTE[data]
-    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC8))
-    kind[lead] = kind[lead + 1] = _KIND[((data[lead].astype(np.int64) & 31) << 6) | (data[lead + 1] & 63)]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     last = first[1:]
     first = first[:-1]
+    if pattern is not None:
+        starts = first.copy()
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            sizes = [len(w.encode()) for w in pattern.findall(data[a:b].tobytes().decode())]
+            starts[a + np.cumsum([0, *sizes[:-1]]) if sizes else []] = True
+        return np.flatnonzero(starts)
+    kind, _ = byte_kinds(data, _kinds())
     starts = first.copy()
     starts[1:] |= kind[1:] != kind[:-1]
     # a space goes with what follows it
     space = (kind == _SPACE) & ~last
     space[:-1] &= kind[1:] != _SPACE
-    at = np.flatnonzero(space)  # the last white space before something else
-    starts[at] = True
+    at = np.flatnonzero(space)  # the last byte of the last white space before something else
+    one = data[at] < 0x80
+    starts[at[one]] = True
+    if not one.all():
+        wide = at[~one]
+        for _ in range(3):
+            wide = np.where((data[wide] & 0xC0) == 0x80, np.maximum(wide - 1, 0), wide)
+        starts[wide] = True
     at = at[data[at] == 32]
     starts[at + 1] = False
     # contractions
@@ -89,18 +94,9 @@ def pretokens(data: np.ndarray, offsets: np.ndarray, pattern: regex.Pattern | No
         for some, size in ((short, 2), (long, 3)):
             after = at[some] + size
             starts[after[after < stop[some]]] = True
-    far = np.unique(np.searchsorted(offsets, np.flatnonzero(kind == _FAR), "right") - 1) if pattern is None else np.arange(len(offsets) - 1)
-    for row in far.tolist():
-        a, b = int(offsets[row]), int(offsets[row + 1])
-        sizes = [len(w.encode()) for w in (pattern or _GENERAL).findall(data[a:b].tobytes().decode())]
-        starts[a:b] = False
-        starts[a + np.cumsum([0, *sizes[:-1]]) if sizes else []] = True
     return np.flatnonzero(starts)
 
 
-_GENERAL = regex.compile(PATTERN)
-
-
 class Known:
     """An open-addressing table from hashes to numbers, asked and filled by whole arrays."""
 
@@ -131,8 +127,13 @@ class Known:
             hashes, values, at = hashes[~own], values[~own], (at[~own] + 1) & int(self.mask)
 
 
+def _grown(x: np.ndarray, to: int, fill: int = 0) -> np.ndarray:
+    return x if len(x) >= to else np.concatenate([x, np.full(max(to, 2 * len(x)) - len(x), fill, x.dtype)])
+
+
 class Vocabulary:
     def __init__(self, path: str, pattern: str = PATTERN):
+        self.seed = int.from_bytes(os.urandom(8), "little")
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.size = max(self.ranks.values()) + 1
@@ -146,11 +147,6 @@ class Vocabulary:
         pairs.sort()
         self.keys = np.array([k for k, _ in pairs] + [_NONE], np.int64)
         self.values = np.array([v for _, v in pairs] + [_NONE], np.int64)
-        #: A merged symbol is calm if no pair with it ranks below itself.
-        self.calm = np.ones(self.size, bool)
-        left, right, value = self.keys[:-1] // self.size, self.keys[:-1] % self.size, self.values[:-1]
-        self.calm[left[value < left]] = False
-        self.calm[right[value < right]] = False
         tokens = [b""] * self.size
         for whole, rank in self.ranks.items():
             tokens[rank] = whole
@@ -219,61 +215,124 @@ class Vocabulary:
         return flat[ranges((np.cumsum(sizes) - sizes)[back], sizes[back])], sizes[back]
 
     def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
-        symbols = symbols.copy()
-        while len(symbols) > 1:
-            rank = self.lookup(symbols[:-1], symbols[1:])
-            lowest = rank.min()
-            if lowest == _NONE:
-                break
-            at = np.flatnonzero(rank == lowest)
-            if not self.calm[lowest]:
-                at = at[:1]
-            elif len(at) > 1:  # of a run of overlapping pairs every other one, from the left
-                place = np.arange(len(at))
-                first = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) > 1], place, 0))
-                at = at[(place - first) % 2 == 0]
-            symbols[at] = lowest
-            symbols = np.delete(symbols, at + 1)
-        return symbols
+        """One word, its pairs in a heap by rank and place, its symbols in a linked list: n log n steps."""
+        n = len(symbols)
+        rank = np.append(self.lookup(symbols[:-1], symbols[1:]), _NONE)
+        heap = np.sort((rank[rank != _NONE] << np.int64(32)) | np.flatnonzero(rank != _NONE)).tolist()
+        rank, symbol, after, before = rank.tolist(), symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        pairs, size, none = self.pairs, self.size, int(_NONE)
+        while heap:
+            top = heapq.heappop(heap)
+            at, low = top & 0xFFFFFFFF, top >> 32
+            if rank[at] != low:
+                continue
+            gone = after[at]
+            then = after[gone]
+            symbol[at], symbol[gone], rank[gone], after[at] = low, -1, none, then
+            rank[at] = none
+            if then < n:
+                before[then] = at
+                if (r := pairs.get(low * size + symbol[then], none)) != none:
+                    rank[at] = r
+                    heapq.heappush(heap, r << 32 | at)
+            if (left := before[at]) >= 0:
+                rank[left] = r = pairs.get(symbol[left] * size + low, none)
+                if r != none:
+                    heapq.heappush(heap, r << 32 | left)
+        out = np.array(symbol, np.int64)
+        return out[out >= 0]
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        return dict(zip(self.keys[:-1].tolist(), self.values[:-1].tolist()))
 
     # --- words -------------------------------------------------------------------------------------------
 
     def _forget(self) -> None:
         """Keep only the vocabulary's own tokens, each a word of one symbol."""
-        self.known = Known(1 << 20)
+        self.known, self.clashes = Known(1 << 20), {}
         self.entries = self.used = self.size
         self.start, self.count, self.flat = np.arange(self.size), np.ones(self.size, np.int64), np.arange(self.size, dtype=np.int32)
-        real = np.flatnonzero(self.token_size)
-        self.known.put(byte_hashes(self.token_bytes, self.token_start[real], self.token_start[real] + self.token_size[real]), real.astype(np.int32))
-
-    def _learn(self, flat: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> None:
+        #: The bytes of each word, 8 to a chunk, and how many they are; -1 for those that aren't looked up again.
+        self.bytes, self.chunk, self.chunks, self.held = np.full(self.size, -1), np.zeros(self.size, np.int64), np.zeros(0, np.uint64), 0
+        real = np.flatnonzero((self.token_size > 0) & (self.token_size <= LONG))
+        starts, ends = self.token_start[real], self.token_start[real] + self.token_size[real]
+        eight = loads(self.token_bytes)
+        hashes = byte_hashes(self.token_bytes, starts, ends, self.seed, eight)
+        self._name(real, hashes, eight, starts, self.token_size[real])
+
+    def _name(self, entries: np.ndarray, hashes: np.ndarray, eight: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Remember the bytes of entries. Of those with one hash the first goes to the table, the others aside."""
+        parts = -(-lengths // 8)
+        at = np.repeat(starts, parts) + 8 * ranges(np.zeros(len(parts), np.int64), parts)
+        left = np.minimum(np.repeat(starts + lengths, parts) - at, 8)
+        top = self.held + len(at)
+        self.chunks = _grown(self.chunks, top)
+        self.chunks[self.held : top] = eight[at] & _MASK[left]
+        self.bytes[entries], self.chunk[entries] = lengths, self.held + np.cumsum(parts) - parts
+        self.held = top
+        first = np.zeros(len(entries), bool)
+        first[np.unique(hashes, return_index=True)[1]] = True
+        first &= self.known.get(hashes) < 0
+        self.known.put(hashes[first], entries[first].astype(np.int32))
+        for k in np.flatnonzero(~first).tolist():
+            self.clashes[self._raw(eight, int(starts[k]), int(lengths[k]))] = int(entries[k])
+
+    @staticmethod
+    def _raw(eight: np.ndarray, start: int, length: int) -> bytes:
+        return eight[start : start + length : 8].astype("<u8").tobytes()[:length]
+
+    def _look(self, hashes: np.ndarray, eight: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The entry of each word, or -1; an entry is taken only if all bytes agree."""
+        at = self.known.get(hashes)
+        who = np.flatnonzero(at >= 0)
+        wrong = who[self.bytes[at[who]] != lengths[who]]
+        k, here = 0, who
+        while len(here):
+            left = lengths[here] - 8 * k
+            differ = self.chunks[np.minimum(self.chunk[at[here]] + k, self.held - 1)] != eight[starts[here] + 8 * k] & _MASK[np.minimum(left, 8)]
+            if differ.any():
+                wrong = np.concatenate([wrong, here[differ]])
+            here = here[(left > 8) & ~differ] if k or differ.any() else here[left > 8]
+            k += 1
+        for i in np.unique(wrong).tolist():
+            at[i] = self.clashes.get(self._raw(eight, int(starts[i]), int(lengths[i])), -1) if self.clashes else -1
+        return at
+
+    def _learn(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The new entries of words, given one after the other."""
         ids, sizes = self.merge(self.single[flat], lengths)
         n, more, top = self.entries, len(lengths), self.used + len(ids)
-        grow = lambda x, to: x if len(x) >= to else np.concatenate([x, np.zeros(max(to, 2 * len(x)) - len(x), x.dtype)])
-        self.start, self.count, self.flat = grow(self.start, n + more), grow(self.count, n + more), grow(self.flat, top)
+        self.start, self.count, self.flat = _grown(self.start, n + more), _grown(self.count, n + more), _grown(self.flat, top)
+        self.bytes, self.chunk = _grown(self.bytes, n + more, -1), _grown(self.chunk, n + more)
+        self.bytes[n : n + more] = -1
         self.start[n : n + more], self.count[n : n + more] = np.cumsum(sizes) - sizes + self.used, sizes
         self.flat[self.used : top] = ids
-        self.known.put(hashes, np.arange(n, n + more, dtype=np.int32))
         self.entries, self.used = n + more, top
+        return np.arange(n, n + more)
 
     def entries_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(the entry of each pre-token, pre-tokens before each row's end with a leading 0). Words are told apart
-        by 64-bit hashes; those not met before are merged first, all at once."""
+        """(the entry of each pre-token, pre-tokens before each row's end with a leading 0). Words are looked up by
+        hash and compared by their bytes; those not met before are merged first, all at once. Those of more than
+        ``LONG`` bytes are merged each time and not looked up."""
         data, offsets = utf8(texts)
         starts = pretokens(data, offsets, self.pattern)
-        ends = np.concatenate([starts[1:], [len(data)]]) if len(starts) else starts
-        hashes = byte_hashes(data, starts, ends)
-        at = self.known.get(hashes)
-        if (new := np.flatnonzero(at < 0)).size:
-            if self.entries - self.size + len(np.unique(hashes[new])) > KEPT and self.entries > self.size:
-                self._forget()
-                new = np.flatnonzero(self.known.get(hashes) < 0)
+        lengths = np.diff(np.append(starts, len(data)))
+        eight = loads(data)
+        at, some = np.full(len(starts), -1), np.flatnonzero(lengths <= LONG)
+        hashes = byte_hashes(data, starts[some], starts[some] + lengths[some], self.seed, eight)
+        if self.entries - self.size > KEPT or self.used - self.size > KEPT_IDS:
+            self._forget()
+        at[some] = self._look(hashes, eight, starts[some], lengths[some])
+        new = np.flatnonzero(at[some] < 0)
+        while new.size:  # a second time only for different words with one hash
             unique, first = np.unique(hashes[new], return_index=True)
-            for k in range(0, len(unique), KEPT):
-                word = new[first[k : k + KEPT]]
-                lengths = ends[word] - starts[word]
-                self._learn(data[ranges(starts[word], lengths)], lengths, unique[k : k + KEPT])
-            at = self.known.get(hashes)
+            word = some[new[first]]
+            self._name(self._learn(data[ranges(starts[word], lengths[word])], lengths[word]), unique, eight, starts[word], lengths[word])
+            at[some[new]] = self._look(hashes[new], eight, starts[some[new]], lengths[some[new]])
+            new = new[at[some[new]] < 0]
+        if (long := np.flatnonzero(lengths > LONG)).size:
+            at[long] = self._learn(data[ranges(starts[long], lengths[long])], lengths[long])
         return at, np.searchsorted(starts, offsets)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import inspect
+import shutil
 import tempfile
 import uuid
 
@@ -20,19 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset, one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Only where that is unset and executors are threads of
+    this machine, a folder of our own; a cluster without the setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="readloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = own = tempfile.mkdtemp(prefix="readloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return "file://" + _OWN[context.applicationId]
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and the loss of an
-    executor costs only a re-read. The table is removed when the driver's interpreter ends."""
+    executor costs only a re-read. The table is removed by ``discard``, or when the driver's interpreter ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -45,7 +54,44 @@ def stored(df: DataFrame, what: str) -> DataFrame:
             pass
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._discard = remove
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read again."""
+    for one in tables:
+        one._discard()
+        atexit.unregister(one._discard)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column's name that the input doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, id_col: str, value_col: str, value: str) -> tuple[DataFrame, DataFrame | None]:
+    """((doc_id bigint, value) of the rows without nulls, names). Whole-number ids are their own numbers; others
+    (strings, say) get numbers in their order, and names has (id, doc_id)."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(value_col).alias(value)).where(F.col("id").isNotNull() & F.col(value).isNotNull())
+    if dict(rows.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint"):
+        return rows.select(F.col("id").cast("bigint").alias("doc_id"), value), None
+    names = stored(rows.select("id").distinct().orderBy("id").select("id", F.monotonically_increasing_id().alias("doc_id")), "names")
+    return rows.join(sized(names, 64), "id").select("doc_id", value), names
+
+
+def renamed(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """The result with the ids in place of their numbers."""
+    if names is None:
+        return df
+    order = df.columns
+    for c in columns:
+        df = df.withColumnRenamed(c, "__number").join(sized(names.select(F.col("id").alias(c), F.col("doc_id").alias("__number")), 64), "__number").drop("__number")
+    return df.select(*order)
 
 
 def give_back() -> None:

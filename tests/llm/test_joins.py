@@ -3,21 +3,23 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 
 from readloom.llm import neighbours, ngram_join, packing
-from readloom.llm.grams import ngrams, words
+from readloom.llm.grams import WORD, byte_hashes, ngrams, words
 
 SCHEMA = "doc_id bigint, text string"
 
 
 def grams_of(text, n=ngram_join.N):
-    w = re.findall("[a-z0-9\u0080-\U0010ffff]+", text.lower())
+    w = regex.findall(WORD, text.lower())
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
 def brute_pairs(rows, threshold, n=ngram_join.N):
-    """{(first id, first id): jaccard}, and {first id: ids} of equal sets."""
+    """{(first id, first id): jaccard} of different sets, and {(first id, id): 1} of equal ones."""
     by_id = {}
     for i, text in rows:
         if i is not None and text is not None:
@@ -30,13 +32,13 @@ def brute_pairs(rows, threshold, n=ngram_join.N):
     for (s, x), (t, y) in combinations(same.items(), 2):
         common = len(s & t)
         if common and common / (len(s) + len(t) - common) >= threshold - 1e-12:
-            pairs[tuple(x), tuple(y)] = common / (len(s) + len(t) - common)
-    return {k if k[0][0] < k[1][0] else k[::-1]: v for k, v in pairs.items()} | {(tuple(x), tuple(x)): 1.0 for x in same.values() if len(x) > 1}
+            pairs[min(x[0], y[0]), max(x[0], y[0])] = common / (len(s) + len(t) - common)
+    return pairs | {(x[0], i): 1.0 for x in same.values() for i in x[1:]}
 
 
 def found(df):
     rows = df.collect()
-    out = {(tuple(r.a_ids), tuple(r.b_ids)): r.jaccard for r in rows}
+    out = {(r.doc_a, r.doc_b): r.jaccard for r in rows}
     assert len(out) == len(rows)
     return out
 
@@ -69,7 +71,7 @@ def test_jaccard_equals_brute_force(spark, seed, threshold):
 def test_jaccard_equals_sql(docs, odd, none, same):
     rows = same(ngram_join.jaccard_join(docs), docs, ngram_join.SQL)
     assert len(rows) > 5
-    assert found(ngram_join.jaccard_join(odd)) == {((7, 8), (7, 8)): 1.0}
+    assert found(ngram_join.jaccard_join(odd)) == {(7, 8): 1.0}
     assert not found(ngram_join.jaccard_join(none))
 
 
@@ -118,18 +120,63 @@ def test_dedup_keeps_one_of_each_group(spark, docs, odd):
         return i if root[i] == i else top(root[i])
 
     for x, y in pairs:
-        for i in (*x, *y):
-            a, b = sorted((top(x[0]), top(i)))
-            root[b] = a
+        a, b = sorted((top(x), top(y)))
+        root[b] = a
     got = sorted((r.doc_id for r in ngram_join.dedup(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([None, *(i for i in root if top(i) == i)], key=str)
     out = ngram_join.dedup(odd)
     assert out.columns == odd.columns and sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [1, None, 2, 3, 4, 5, 6, 7, 7, 9]))
 
 
-def test_words_and_grams():
-    import pyarrow as pa
+def test_ids_of_other_types_and_clashing_names(spark):
+    rows = copies(3, 6)
+    plain = spark.createDataFrame(rows, SCHEMA)
+    named = plain.selectExpr("concat('d', lpad(doc_id, 9, '0')) as doc_id", "text", "1 as gone", "2 as Gone_", "3 as id", "4 as __number")
+    name = lambda i: f"d{i:09}"
+    assert found(ngram_join.jaccard_join(named)) == {(name(a), name(b)): v for (a, b), v in found(ngram_join.jaccard_join(plain)).items()}
+    out = ngram_join.dedup(named)
+    assert out.columns == named.columns
+    assert {r.doc_id for r in out.collect()} == {name(r.doc_id) if r.doc_id is not None else None for r in ngram_join.dedup(plain).collect()}
+
+
+def thue_morse(length):
+    text = "a"
+    while len(text) < length:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("length", [64, 1024, 2048, 4096])
+def test_words_made_to_collide(spark, length):
+    one, other = thue_morse(length)
+    hashes, *_ = words(pa.array([one, other, one]))
+    assert hashes[0] == hashes[2] != hashes[1]
+    rows = [(1, one), (2, other), (3, one.upper())]
+    assert found(ngram_join.jaccard_join(spark.createDataFrame(rows, SCHEMA))) == {(1, 3): 1.0}
+
 
+def test_hashes_depend_on_bytes_alone():
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    starts = rng.integers(0, 4000, 500)
+    ends = starts + rng.integers(0, 1000, 500)
+    hashes = byte_hashes(data, starts, ends, 7)
+    for h, a, b in zip(hashes.tolist(), starts.tolist(), ends.tolist()):
+        assert byte_hashes(data[a:b], np.array([0]), np.array([b - a]), 7).tolist() == [h]
+    assert len(set(hashes.tolist())) == len({data[a:b].tobytes() for a, b in zip(starts, ends)})
+    assert (byte_hashes(data, starts, ends, 8) != hashes).all()
+
+
+def test_words_by_code_point():
+    texts = ["don’t — stop", "中文，字 abc中d", "ไทย", "e\u0301a\u00a0b", "1²½ _x_", "\U00020000\U0001F600z"]
+    hashes, ends, *_ = words(pa.array(texts))
+    assert np.diff(ends).tolist() == [len(regex.findall(WORD, t)) for t in texts] == [3, 6, 3, 2, 2, 2]
+    two = "一二三四五六七八九十百千万上中下左右天地人"
+    alike = list(brute_pairs([(1, two), (2, two[:-1] + "大")], 0.5).values())
+    assert alike and 0.5 < alike[0] < 1
+
+
+def test_words_and_grams():
     hashes, ends, starts, *_ = words(pa.array(["Ab c", None, "ab", "", "C, ab-C é"]))
     assert ends.tolist() == [0, 2, 2, 3, 3, 7] and hashes[0] == hashes[2] == hashes[4] and hashes[1] == hashes[3] == hashes[5]
     rows, grams = ngrams(hashes, ends, 3)

@@ -25,9 +25,7 @@ def test_stages(spark, docs, sql):
     root = {i: i for i in ids[3]}
     for _ in root:
         for a, b, _ in pairs:
-            low = min(root[i] for i in (*a, *b))
-            for i in (*a, *b):
-                root[i] = low
+            root[a] = root[b] = min(root[a], root[b])
     assert ids[4] == sorted(set(root.values()))
     assert {r.doc_id: r.n for r in seen[5].groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()} == {
         r.doc_id: n for r in seen[4].collect() if (n := len(r.text.split()))

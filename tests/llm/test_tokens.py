@@ -44,6 +44,37 @@ def test_another_pattern_and_forgetting(monkeypatch):
         assert lists(v, texts) == [want.encode_ordinary(t) for t in texts]
 
 
+def test_words_with_one_hash(monkeypatch):
+    real = bpe.byte_hashes
+    monkeypatch.setattr(bpe, "byte_hashes", lambda *a, **k: real(*a, **k) & np.uint64(255))
+    v = bpe.Vocabulary(bpe.VOCABULARY)
+    random.seed(5)
+    texts = [" ".join("".join(random.choices("abcdefghij", k=random.randint(1, 30))) for _ in range(9)) for _ in range(100)]
+    want = [reference().encode_ordinary(t) for t in texts]
+    assert lists(v, texts) == want and lists(v, texts[::-1]) == want[::-1]
+
+
+@pytest.mark.parametrize("length", [1024, 2048, 4096])
+def test_words_made_to_collide(spark, length):
+    one = "a"
+    while len(one) < length:
+        one += one.translate(str.maketrans("ab", "ba"))
+    texts = [one, one.translate(str.maketrans("ab", "ba")), one]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    assert [r.decoded for r in bpe.encode(df, decoded=True).orderBy("doc_id").collect()] == texts
+    ids = [reference().encode_ordinary(t) for t in texts]
+    assert [r.n_tokens for r in token_counts.token_counts(df).orderBy("doc_id").collect()] == [len(i) for i in ids]
+    got = rebuilt(token_store.read_blocks(token_store.token_blocks(df)).collect())
+    assert [list(got[k][0]) for k in range(3)] == ids
+
+
+def test_long_words():
+    random.seed(1)
+    texts = ["".join(random.choices(letters, k=n)) for letters, n in (("etaoin", 20_000), ("ab", 9_000), ("é中", 4_000), ("-=", 5_000))]
+    assert lists(bpe.vocabulary(), texts) == [reference().encode_ordinary(t) for t in texts]
+    assert bpe.vocabulary().decode(*bpe.vocabulary().encode(pa.array(["".join(random.choices("etaoinshrdlu", k=300_000))])))[1].tolist() == [300_000]
+
+
 def test_queries_over_documents(spark, docs):
     want = reference()
     texts = {r.doc_id: r.text for r in docs.collect()}
