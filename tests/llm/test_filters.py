@@ -23,10 +23,22 @@ def test_quality_agrees_with_the_labels(spark):
 
 
 def test_quality_order_changes_nothing(docs):
-    names = list(quality.rules(F.col("text")))
-    one, other = (sorted(r[0] for r in docs.where(quality.cascade(F.col("text"), o)).select("doc_id").collect()) for o in (names, names[::-1]))
-    assert one == other
-    assert sorted(name for name, _, _ in quality.measured_order(docs)) == sorted(names)
+    texts = pa.array([r.text for r in docs.collect()])
+    names = list(quality.RULES)
+    for order in (names[::-1], names[3:] + names[:3]):
+        assert (quality.kept(texts, order) == quality.kept(texts, names)).all()
+    order = quality.measured_order(docs)
+    assert sorted(name for name, _, _ in order) == sorted(names) and all(cost > 0 for _, cost, _ in order)
+    rate = [share / max(cost, 1e-6) for _, cost, share in order]
+    assert rate[0] == max(rate)
+
+
+def test_quality_of_long_and_varied_texts(same, spark):
+    pick = random.Random(2)
+    rows = [(0, "one two " * 3000), (1, " ".join(f"w{int(pick.paretovariate(0.8))}" for _ in range(30000))), (2, "\n".join(["same line here"] * 7 + ["", "x"])), (3, "\n\n\n\n\n\n"),
+            (4, "abc\u00a0def " * 5), (5, " ".join(map(str, range(1999))) + " abc" * 5000), (6, "!" * 3), (7, "Ünïcode wörds " * 4), (8, "a" * 31), (9, "#" + "a" * 19), (10, "#" + "a" * 18)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    same(quality.quality_flags(df), df, quality.SQL)
 
 
 def test_filter_quality_keeps_columns(odd):
@@ -38,15 +50,33 @@ def test_lines_equal_sql(spark, docs, odd, none, same):
     query = line_dedup.SQL
     same(line_dedup.clean_lines(docs), docs, query)
     same(line_dedup.clean_lines(odd), odd, query)
-    rows = [(i, f"Menu\n line {i}\n\n \tMenu \r\nLegal {i % 10}\nRare {i % 12}", "de", "hot" if i < 40 else "cold" if i < 50 else None, 1) for i in range(60)]
+    rows = [(i, f"Menu\n line {i}\n\n \tMenu \r\nLegal {i % 10}\nRare {i % 20}", "de", "hot" if i < 40 else "cold" if i < 50 else None, 1) for i in range(60)]
     rows += [(100, "Menu\nMenu\nMenu", None, "hot", 14), (101, None, None, "hot", None), (102, "Menu", None, "hot", 4)]
     site = spark.createDataFrame(rows, docs.schema)
     for limit in (1 << 30, 0):  # broadcast, and the way beyond
         got = {r[0]: (r[1], r[2]) for r in same(line_dedup.clean_lines(site, broadcast_bytes=limit), site, query)}
-    assert got[0] == (" line 0\n", 4) and got[45][1] == 0 and got[55][1] == 0 and got[100] == ("", 3) and got[102] == ("", 1) and got[101] == (None, 0)
+    assert got[0] == (" line 0\n\nRare 0", 3) and got[45] == (" line 45\n\nLegal 5\nRare 5", 2) and got[55][1] == 0 and got[100] == ("", 3) and got[102] == ("", 1) and got[101] == (None, 0)
     assert not line_dedup.clean_lines(none).collect()
 
 
+def test_copies_of_a_page_and_small_hosts(spark, docs, same):
+    """Copies aren't boilerplate to each other; two pages don't make boilerplate, three do, however few the host has."""
+    rows = [(i, "One\ntext\nof many lines", "de", "copies", 1) for i in range(30)] + [(40 + i, f"Cookies\nother {i}", "de", "copies", 1) for i in range(5)]
+    rows += [(100 + i, f"Menu\nPair {i // 2}\nOwn {i}", "de", "small", 1) for i in range(4)] + [(200 + i, f"Menu\nOwn {i}", "de", "two", 1) for i in range(2)]
+    df = spark.createDataFrame(rows, docs.schema)
+    got = {r[0]: r[1] for r in same(line_dedup.clean_lines(df), df, line_dedup.SQL)}
+    assert got[0] == "One\ntext\nof many lines" and got[40] == "other 0" and got[100] == "Pair 0\nOwn 0" and got[200] == "Menu\nOwn 0"
+
+
+def test_lines_by_the_host_of_a_url(spark):
+    rows = [(f"p{i}", f"https://A{i % 2}.example.org/x/{i}?q=1", f"Menu {i % 2}\nown {i}", i, i, i) for i in range(10)] + [("q", "no url", "Menu 0\nmine", 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id string, url string, text string, text_left int, __lines int, n_dropped int")
+    got = {r.doc_id: r.text for r in line_dedup.clean_lines(df, host_col=line_dedup.host_of(F.col("url"))).collect()}
+    assert got == {f"p{i}": f"own {i}" for i in range(10)} | {"q": "Menu 0\nmine"}
+    out = line_dedup.dedup_lines(df, host_col=line_dedup.host_of(F.col("url")))
+    assert out.columns == df.columns and {r.doc_id: (r.text, r.n_dropped) for r in out.collect()} == {r[0]: (got[r[0]], r[5]) for r in rows}
+
+
 def test_dedup_lines_keeps_columns(odd):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns and Counter(map(str, out.collect())) == Counter(map(str, odd.collect()))
