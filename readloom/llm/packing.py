@@ -1,22 +1,26 @@
 """Operator 4, best-fit packing by a configuration linear program over the length histogram.
 
-Documents are packed into bins of ``capacity`` words. A document longer than that fills bins of its own, and
+Documents are packed into bins of ``capacity`` tokens. A document longer than that fills bins of its own, and
 its remainder is packed like any other; a bin holds several pieces, no piece is cut further. With n_l pieces of
 length l, a pattern is a multiset of lengths that fits a bin, and the program asks for the fewest bins, in
-fractions of patterns, that hold all pieces. It is solved by multiplicative weights: each length has a weight;
-in every round the best pattern for the weights is priced by knapsack dynamic programming, gets a share of the
-bins, and the weights of the lengths it covers go down. The solution is rounded down to whole bins, and the
-few pieces that are left go by best fit, longest first.
-
-Only the histogram (``capacity`` numbers at most) comes to the driver, whatever the number of documents. Each
-length's pieces are numbered: within (length, part), with the parts' counts added up before them, so no task
-numbers more than some million; a table of pattern runs then says which bin holds piece k of length l.
-
-Result: (doc_id, piece, start, length, bin, offset): words [start, start + length) of the document lie at
-[offset, offset + length) of the bin. Defined results: a length is the number of maximal runs of characters
-other than space, tab, carriage return and newline; documents without one (null and blank texts) get no row;
-rows with null or repeated ids are packed like any other; ties are settled by hash and id; further columns are
-dropped; an empty table gives an empty table.
+fractions of patterns, that hold all pieces. It is solved by multiplicative weights. A length's weight is what the
+optimal duals tend to where bins can be filled, its share of a bin, times a factor that falls exponentially with
+how far its pieces are covered already. In every round one knapsack dynamic program prices all patterns: for each
+of the lengths that are covered least it gives the best pattern with that length, which gets a share of the bins.
+The shares are rounded down to whole bins, the largest remainders up as long as there are pieces; what is left is
+solved again, a few times, and at last goes by best fit, longest first, into the fullest bins with room, those of
+the program included. Lengths under a 16th of a bin are kept for that: they fill what the patterns leave.
+
+Only the histogram (``capacity`` numbers at most) comes to the driver, whatever the number of documents; so do the
+time of the program and the table of pattern runs (some thousands) depend on the capacity alone. Each length's
+pieces are numbered: within (length, part), with the parts' counts added up before them, so no task numbers more
+than some million; the table of runs then says which bin holds piece k of length l.
+
+Result: (doc_id, piece, start, length, bin, offset): tokens [start, start + length) of the document lie at
+[offset, offset + length) of the bin. Defined results: a length is the number of tokens (``bpe``); documents
+without one (null and empty texts) get no row; rows with null or repeated ids, of any type, are packed like any
+other; ties are settled by hash and id; texts of any length are counted whole; further columns, whatever their
+names, are dropped; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,116 +32,130 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import in_batches, reachable, slices, stored, table, utf8
+from readloom.llm.bpe import PATTERN, VOCABULARY
+from readloom.llm.common import in_batches, reachable, stored, table
+from readloom.llm.token_counts import token_counts
 
 CAPACITY = 2048
-#: Rounds of multiplicative weights, and how often what rounding leaves is solved again.
-ROUNDS = 150
+#: Rounds of multiplicative weights, patterns of a round, and how often what rounding leaves is solved again.
+ROUNDS = 30
+PATTERNS = 128
 PASSES = 4
 #: Pieces of a length that one task numbers.
 PART_ROWS = 2_000_000
+#: The share of a length's pieces that a pattern covers in a round, at most, and how fast weights fall.
+_STEP = 0.34
+_ETA = 3.0
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 13, 32]] = True
 
-
-def word_counts(texts: pa.Array) -> np.ndarray:
-    data, offsets = utf8(texts)
-    solid = ~_BLANK[data]
-    start = solid.copy()
-    start[1:] &= ~solid[:-1]
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
-    start[inner] = solid[inner]
-    return np.diff(np.concatenate([[0], np.cumsum(start)])[offsets])
-
-
-def pieces(df: DataFrame, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(df: DataFrame, capacity: int, id_col: str, text_col: str, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, piece, start, length)."""
-    df = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(df.dtypes)["doc_id"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "words": pa.array(word_counts(part.column("text")))})
-
-    counted = in_batches(df, work, f"doc_id {kind}, words bigint").where("words > 0")
-    last = F.floor((F.col("words") - 1) / capacity)
-    return counted.select("doc_id", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece")).select(
-        "doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.col("words") - F.col("piece") * capacity, F.lit(capacity)).alias("length")
+    counted = token_counts(df, id_col, text_col, path, pattern).where("n_tokens > 0")
+    last = F.floor((F.col("n_tokens") - 1) / capacity)
+    return counted.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece")).select(
+        "doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.col("n_tokens") - F.col("piece") * capacity, F.lit(capacity)).alias("length")
     )
 
 
-def price(weights: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length occurs in the pattern of the greatest weight, by knapsack dynamic programming.
-    most: how many pieces of a length there are; repeats of a length are taken in powers of two."""
-    best = np.zeros(capacity + 1)
-    taken: list[tuple[int, int, np.ndarray]] = []
-    for i in np.flatnonzero(weights > 0).tolist():
-        left, k = int(min(most[i], capacity // lengths[i])), 1
-        while left > 0:
-            k = min(k, left)
-            size, gain = int(lengths[i]) * k, weights[i] * k
-            more = best[: capacity + 1 - size] + gain
-            win = more > best[size:]
-            best[size:] = np.where(win, more, best[size:])
-            taken.append((i, k, win))
-            left -= k
-            k *= 2
-    out, room = np.zeros(len(lengths), np.int64), capacity
-    for i, k, win in reversed(taken):
-        size = int(lengths[i]) * k
-        if room >= size and win[room - size]:
-            out[i] += k
-            room -= size
-    return out
-
-
-def shares(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> tuple[list[tuple[np.ndarray, float]], np.ndarray]:
-    """The program's fractions of bins by pattern, and how many times over they cover each length's pieces."""
-    found: dict[bytes, float] = {}
-    cover, eta = np.zeros(len(lengths)), 2.0
-    for _ in range(rounds):
-        weights = np.exp(-eta * (cover - cover.min())) / counts
-        pattern = price(weights, lengths, counts, capacity)
-        used = pattern > 0
-        step = (counts[used] / pattern[used]).min()  # as many bins as the scarcest length fills
-        found[pattern.tobytes()] = found.get(pattern.tobytes(), 0.0) + step
-        cover += pattern * (step / counts)
-        eta *= 1.02
-    return [(np.frombuffer(raw, np.int64), share) for raw, share in sorted(found.items(), key=lambda x: (-x[1], x[0]))], cover
+def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By knapsack dynamic programming, for each room from 0 to ``capacity``: the greatest weight that fits, the
+    length that is put in last (0 if the room isn't better used than the one below), and the room that is used."""
+    dense = np.full(capacity + 1, -np.inf)
+    dense[lengths] = weights
+    best, choice, low = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), int(lengths.min())
+    for c in range(1, capacity + 1):
+        best[c] = best[c - 1]
+        if c >= low:
+            each = dense[low : c + 1] + best[c - low :: -1]
+            k = int(each.argmax())
+            if each[k] > best[c] + 1e-12:
+                best[c], choice[c] = each[k], k + low
+    return best, choice, np.maximum.accumulate(np.where(choice > 0, np.arange(capacity + 1), 0))
+
+
+def best_with(first: np.ndarray, choice: np.ndarray, used: np.ndarray, capacity: int) -> np.ndarray:
+    """For each length the lengths of the best pattern with it, a row padded with zeros."""
+    columns, room = [first], capacity - first
+    while True:
+        room = used[room]
+        last = choice[room]
+        if not last.any():
+            return np.stack(columns, 1)
+        columns.append(last)
+        room = room - last
+
+
+def shares(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, many: bool) -> list[tuple[dict[int, int], float]]:
+    """The program's fractions of bins: patterns as {place of the length: pieces}, with the bins of each."""
+    cover, place = np.zeros(len(lengths)), {int(x): i for i, x in enumerate(lengths)}
+    found: dict[tuple[int, ...], float] = {}
+    # of many lengths bins can be filled, and duals are close to the shares of a bin; of few they are anything, and
+    # as a round's patterns share their partners, fewer go in before the weights are brought up to date
+    most = PATTERNS if many else max(2, len(lengths) // 16)
+    for turn in range(rounds if many else 3 * rounds):
+        low = cover.min()
+        if low >= 1:
+            break
+        factor = np.exp(-_ETA * (cover - low))
+        _, choice, used = price(lengths * (1 + factor / capacity if many else factor), lengths, capacity)
+        # the least covered first; among equals others in each round
+        first = np.lexsort((np.arange(len(cover)) * 40503 * (2 * turn + 1) % 65537, np.round(cover, 2)))[:most]
+        for row in best_with(lengths[first[cover[first] <= low + 0.5]], choice, used, capacity).tolist():
+            pattern: dict[int, int] = {}
+            for x in row:
+                if x:
+                    pattern[place[x]] = pattern.get(place[x], 0) + 1
+            here = list(pattern)
+            if any(counts[i] < n for i, n in pattern.items()) or any(cover[i] > 1.2 for i in here):
+                continue
+            step = _STEP * min(counts[i] / n for i, n in pattern.items())
+            key = tuple(sorted(x for x in row if x))
+            found[key] = found.get(key, 0.0) + step
+            for i, n in pattern.items():
+                cover[i] += n * step / counts[i]
+    return [({place[x]: key.count(x) for x in set(key)}, share) for key, share in sorted(found.items())]
 
 
 def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, passes: int = PASSES) -> list[tuple[np.ndarray, int]]:
-    """(pattern, bins) that hold all pieces exactly; patterns as counts by length. What rounding leaves is solved
-    again, and what the last pass leaves goes by best fit."""
+    """(pattern, bins) that hold all pieces exactly; patterns as counts by length."""
     left = counts.astype(np.int64).copy()
-    runs: list[tuple[np.ndarray, int]] = []
+    runs: dict[tuple[tuple[int, int], ...], int] = {}
     for _ in range(passes):
-        here = np.flatnonzero(left)
+        here = np.flatnonzero((left > 0) & (lengths * 16 >= capacity))
         if not len(here):
             break
-        patterns, cover = shares(lengths[here], left[here], capacity, rounds)
-        scale, before = 1 / max(1e-9, float(np.median(cover))), len(runs)
-        for part, share in patterns:
-            used = part > 0
-            bins = min(int(share * scale), int((left[here][used] // part[used]).min()))
-            if bins > 0 and (part * lengths[here]).sum() * 100 >= 99 * capacity:
-                pattern = np.zeros(len(lengths), np.int64)
-                pattern[here] = part
-                runs.append((pattern, bins))
-                left -= pattern * bins
-        if len(runs) == before:
-            break
-    return runs + best_fit(lengths, left, capacity)
-
-
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Longest first, into the fullest bins with room; equal bins are handled together."""
+        patterns = shares(lengths[here], left[here], capacity, rounds, len(lengths) * 4 >= capacity)
+        whole = [(pattern, int(share)) for pattern, share in sorted(patterns, key=lambda x: -x[1])]
+        more = [(pattern, 1) for pattern, share in sorted(patterns, key=lambda x: -(x[1] % 1)) if share % 1]
+        for pattern, bins in whole + more:
+            bins = min(bins, *(int(left[here[i]]) // n for i, n in pattern.items()))
+            if bins > 0:
+                key = tuple(sorted((int(here[i]), n) for i, n in pattern.items()))
+                runs[key] = runs.get(key, 0) + bins
+                for i, n in key:
+                    left[i] -= n * bins
+    solved = []
+    for key, bins in runs.items():
+        pattern = np.zeros(len(lengths), np.int64)
+        for i, n in key:
+            pattern[i] = n
+        solved.append((pattern, bins))
+    found, plain = best_fit(lengths, left, capacity, solved), best_fit(lengths, counts, capacity)
+    return found if sum(b for _, b in found) <= sum(b for _, b in plain) else plain
+
+
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, begun: list[tuple[np.ndarray, int]] = ()) -> list[tuple[np.ndarray, int]]:
+    """Longest first, into the fullest bins with room, those begun included; equal bins are handled together."""
     open_bins: dict[int, list[list]] = {}  # room: [pattern, bins]
+    for pattern, bins in begun:
+        open_bins.setdefault(capacity - int((pattern * lengths).sum()), []).append([pattern, bins])
     for i in np.argsort(-lengths, kind="stable").tolist():
         size, left = int(lengths[i]), int(counts[i])
+        if not left:
+            continue
         for room in sorted(r for r in open_bins if r >= size):
+            if not left:
+                break
             todo, open_bins[room] = open_bins[room], []
             for pattern, bins in todo:
                 each = min(room // size, left)
@@ -176,9 +194,9 @@ def layout(lengths: np.ndarray, runs: list[tuple[np.ndarray, int]]) -> dict[int,
     return {k: tuple(np.array(x, np.int64) for x in zip(*v)) for k, v in out.items()}
 
 
-def pack_documents(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, part_rows: int = PART_ROWS) -> DataFrame:
+def pack_documents(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, part_rows: int = PART_ROWS, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     spark = reachable(df.sparkSession)
-    every = stored(pieces(df, capacity, id_col, text_col), "pieces")
+    every = stored(pieces(df, capacity, id_col, text_col, path, pattern), "pieces")
     rows = every.groupBy("length").count().toPandas().sort_values("length")
     lengths, counts = rows["length"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
     slots = spark.sparkContext.broadcast(layout(lengths, solve(lengths, counts, capacity, rounds)))

@@ -1,5 +1,5 @@
 import random
-import re
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 import regex
 
-from readloom.llm import neighbours, ngram_join, packing
+from readloom.llm import neighbours, ngram_join, packing, token_counts
 from readloom.llm.grams import WORD, byte_hashes, ngrams, words
 
 SCHEMA = "doc_id bigint, text string"
@@ -187,7 +187,7 @@ def test_words_and_grams():
 
 
 def packed(df, capacity, **more):
-    rows = packing.pack_documents(df, capacity, **{"rounds": 40} | more).collect()
+    rows = packing.pack_documents(df, capacity, **more).collect()
     at = {}
     for r in rows:
         at.setdefault(r.bin, []).append((r.offset, r.length))
@@ -214,21 +214,33 @@ def first_fit(lengths, capacity):
 def test_packing_documents(spark, docs, odd, none, capacity):
     for df in (docs, odd):
         rows, at = packed(df, capacity)
-        want = sorted((str(r.doc_id), len(re.findall("[^ \t\r\n]+", r.text or ""))) for r in df.collect() if (r.text or "").strip(" \t\r\n"))
-        total = {}
-        for r in rows:
-            total.setdefault((str(r.doc_id), r.piece), []).append((r.start, r.length))
+        want = sorted((str(r.doc_id), r.n_tokens) for r in token_counts.token_counts(df).collect() if r.n_tokens)
         assert sorted((k, sum(r.length for r in rows if str(r.doc_id) == k)) for k in {w for w, _ in want}) == sorted((k, sum(n for w, n in want if w == k)) for k in {w for w, _ in want})
         assert all(r.start == r.piece * capacity for r in rows)
         assert len(at) <= first_fit([r.length for r in rows], capacity)
     assert packed(none, capacity) == ([], {})
 
 
+def test_packing_by_sql(spark, docs):
+    """All pieces are placed once, without gaps in the documents, overlaps or overflow in the bins."""
+    packing.pack_documents(docs).createOrReplaceTempView("packed")
+    token_counts.token_counts(docs).createOrReplaceTempView("counted")
+    one = lambda sql: spark.sql(sql).first()[0]
+    assert one("select count(*) from (select bin, sum(length) n, max(offset + length) top from packed group by bin) where n <> top or top > 2048") == 0
+    assert one("select count(*) from (select *, lead(offset) over (partition by bin order by offset) as then from packed) where then <> offset + length") == 0
+    assert one("select count(*) from (select *, lead(start) over (partition by doc_id order by start) as then from packed) where then <> start + length") == 0
+    assert one("select count(*) from counted full join (select doc_id, sum(length) n, min(start) low from packed group by doc_id) p using (doc_id) where n is distinct from nullif(n_tokens, 0) or low > 0") == 0
+
+
 def test_packing_in_parts(spark, docs):
     rows, at = packed(docs, 64, part_rows=3)
     assert len(rows) == len(set((r.bin, r.offset) for r in rows)) == packing.pack_documents(docs, 64, rounds=5).count()
 
 
+def bins_of(runs):
+    return sum(b for _, b in runs)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_program_against_bounds(seed):
     rng = np.random.default_rng(seed)
@@ -236,19 +248,69 @@ def test_program_against_bounds(seed):
     counts = rng.integers(1, 60, len(lengths))
     runs = packing.solve(lengths, counts, 1000)
     assert (sum(p * b for p, b in runs) == counts).all() and all((p * lengths).sum() <= 1000 for p, _ in runs)
-    bins = sum(b for _, b in runs)
     # the bounds: full bins, and pieces of over half a bin, of which no two fit together
     low = max(-(-int((lengths * counts).sum()) // 1000), int(counts[lengths > 500].sum()))
-    assert bins <= min(1.02 * low + 2, first_fit(np.repeat(lengths, counts), 1000)) or bins <= 1.01 * first_fit(np.repeat(lengths, counts), 1000)
+    assert low <= bins_of(runs) <= min(bins_of(packing.best_fit(lengths, counts, 1000)), first_fit(np.repeat(lengths, counts), 1000))
+
+
+def fewest(lengths, counts, capacity):
+    """Bins, by brute force over all ways to fill the next one."""
+    @lru_cache(maxsize=None)
+    def least(left):
+        if not any(left):
+            return 0
+        biggest = max(i for i, n in enumerate(left) if n)
+
+        def fill(i, room, left):
+            if i < 0:
+                yield left
+                return
+            for n in range(min(left[i], room // lengths[i]) + 1):
+                yield from fill(i - 1, room - n * lengths[i], (*left[:i], left[i] - n, *left[i + 1 :]))
+
+        first = (*left[:biggest], left[biggest] - 1, *left[biggest + 1 :])
+        return 1 + min(least(rest) for rest in fill(len(left) - 1, capacity - lengths[biggest], first))
+
+    return least(tuple(counts))
+
+
+def test_program_equals_brute_force_on_small_histograms():
+    rng = np.random.default_rng(3)
+    extra = 0
+    for _ in range(25):
+        lengths = np.sort(rng.choice(np.arange(2, 12), 4, replace=False))
+        counts = rng.integers(1, 5, 4)
+        runs = packing.solve(lengths, counts, 12)
+        assert (sum(p * b for p, b in runs) == counts).all() and all((p * lengths).sum() <= 12 for p, _ in runs)
+        extra += bins_of(runs) - fewest(tuple(map(int, lengths)), tuple(map(int, counts)), 12)
+    assert extra <= 1
+
+
+def test_program_places_most_and_needs_no_more_than_best_fit(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = packing.pieces(documents, 2048, "doc_id", "text").groupBy("length").count().toPandas().sort_values("length")
+    lengths, counts = rows["length"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
+    begun = []
+    real = packing.best_fit
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "best_fit", lambda l, c, n, runs=(): begun.append((int((c * (c > 0)).sum()), len(runs))) or real(l, c, n, runs))
+        runs = packing.solve(lengths, counts, 2048)
+    left = next(n for n, some in begun if some)
+    assert left < 0.15 * counts.sum()
+    assert bins_of(runs) <= bins_of(real(lengths, counts, 2048)) and bins_of(runs) <= -(-int((lengths * counts).sum()) // 2048) + 5
 
 
 def test_price_is_the_best_pattern():
     rng = np.random.default_rng(0)
+    lengths = np.array([3, 5, 7])
     for _ in range(30):
-        lengths, weights, most = np.array([3, 5, 7]), rng.random(3), rng.integers(0, 4, 3)
-        best = max(float(weights @ np.array([a, b, c])) for a in range(most[0] + 1) for b in range(most[1] + 1) for c in range(most[2] + 1) if 3 * a + 5 * b + 7 * c <= 20)
-        got = packing.price(weights, lengths, most, 20)
-        assert weights @ got == pytest.approx(best) and (got <= most).all() and got @ lengths <= 20
+        weights = rng.random(3)
+        best, choice, used = packing.price(weights, lengths, 20)
+        for room in range(21):
+            assert best[room] == pytest.approx(max(float(weights @ np.array([a, b, c])) for a in range(7) for b in range(5) for c in range(3) if 3 * a + 5 * b + 7 * c <= room))
+        for first, row in zip(lengths, packing.best_with(lengths, choice, used, 20)):
+            value = sum(weights[lengths == x][0] for x in row if x)
+            assert row[0] == first and row.sum() <= 20 and value == pytest.approx(weights[lengths == first][0] + best[20 - first])
 
 
 # --- neighbours ---------------------------------------------------------------------------------------------
