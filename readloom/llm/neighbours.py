@@ -1,21 +1,30 @@
 """Operator 9, approximate nearest neighbours with randomly rotated one-bit codes.
 
 Vectors are scaled to length 1. Each lies in the cell of its nearest centroid; the difference to the centroid,
-turned by one random rotation for all, is kept as its signs (packed bits, a bit a dimension) with two correction
-scalars. From the bits and scalars alone the inner product with a query, and so the distance, is estimated, with
-a bound of the error that holds with high probability (``EPSILON`` standard errors). A vector is compared
-exactly with a query only if the lower bound of its distance is within the k-th smallest upper bound.
-
-Cells are gathered into blocks of about ``BLOCK`` vectors. First each block is searched for its own vectors,
-which gives each query a distance that its k-th neighbour can't exceed; then a block is searched for another's
-queries where the triangle inequality over centre and radius leaves room below that. Nothing is capped: the
-centroids only decide what can be skipped, so recall doesn't depend on them.
+turned by one random rotation (into at least twice as many dimensions, for a smaller error), is kept as its signs, packed
+into 64-bit words, with two correction scalars. A query is turned as well and kept as signs and one bit of
+magnitude a dimension. XOR and popcount of packed words give the inner product of both codes, from that and the
+scalars follow the distance and a bound of its error (``EPSILON`` standard errors, of both codes). A vector is
+compared exactly with a query only if the lower bound of its distance is within the k-th smallest exact distance
+that the query has so far, each query by itself, its nearest cells first.
+
+A query is held against the vectors of its nearest cells only. How many is measured: a hash sample of ``PROBE``
+queries is compared exactly with all vectors, and as many cells are searched as hold a share ``RECALL`` of their
+true neighbours. Where vectors have cluster structure that is a few cells, and the work grows in proportion to the
+vectors; where they have none, the measure asks for a large share of the cells, and the work grows with the square:
+recall is kept, not speed. Cells hold about ``CELL`` vectors, up to ``CENTRES`` cells (a few MB, broadcast); beyond,
+cells grow.
+
+Cells are gathered into blocks of about ``BLOCK`` vectors, a task each; a query is sent once to each block that has
+cells of its own, and a block with many queries is searched by several tasks. Nothing but counts by cell and block,
+the sample for the centroids (a few rows a cell) and that of the queries comes to the driver.
 
 Result: (vec_id, rank, neighbour, similarity), the ``k`` of the greatest cosine similarity of each vector, all
 other vectors being candidates; ties by the smaller id. Defined results: vectors that are null or empty, have a
 null, infinite or no-number element or length 0, or another dimension than most (ties: the smaller) have no
-neighbours and are nobody's; rows with a null id are left out; of rows with the same id the smallest vector
-counts; with fewer than k others there are fewer neighbours; further columns are dropped; an empty table gives
+neighbours and are nobody's; elements may be as large or as small as a double holds; rows with a null id are left
+out; of rows with the same id the smallest vector counts; ids may be of any type that can be ordered; with fewer
+than k others there are fewer neighbours; further columns, whatever their names, are dropped; an empty table gives
 an empty table.
 """
 
@@ -25,109 +34,202 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import in_batches, ranges, reachable, stored, table
+from readloom.llm.common import discard, in_batches, in_groups, numbered, reachable, renamed, stored, table
 
 K = 10
+CELL = 256
+CENTRES = 1 << 16
 BLOCK = 4096
-EPSILON = 2.5
+#: Queries of a block that one task answers.
+QUERIES = 1 << 16
+EPSILON = 2.2
+#: The share of true neighbours that the searched cells hold, and the queries it is measured with.
+RECALL = 0.97
+PROBE = 256
 SEED = 20
-_TILE = 512
+#: Pairs of a query and a vector that are estimated at once.
+_PAIRS = 1 << 16
+#: A query's code: the lower level in standard deviations, where the greater one begins (the best for a normal
+#: spread), and what the greater one has more, as a fraction of the lower: 7/3, so that sums are whole numbers.
+_LEVEL, _EDGE, _PER, _MORE = 0.4528, 0.9816, 3, 7
 
 
 def rotation(dim: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, dim)))
-    return (q * np.sign(np.diag(r))).astype(np.float32)
+    """dim rows, each of length 1 and at right angles to the others, in a multiple of 64 dimensions."""
+    wide = max(256, -(-2 * dim // 64) * 64)
+    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((wide, wide)))
+    return (q * np.sign(np.diag(r)))[:dim].astype(np.float32)
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def _signs(codes: np.ndarray, dim: int) -> np.ndarray:
-    """+1 and -1 from packed bits, over the square root of the dimension."""
-    return (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
+def _signs(codes: np.ndarray) -> np.ndarray:
+    """+1 and -1 from packed words."""
+    return np.unpackbits(np.ascontiguousarray(codes).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
 
 def encode(vectors: np.ndarray, centres: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed signs, length of the difference to the centre, inner product of its direction with its code)."""
     rest = (vectors - centres) @ turn
     length = np.linalg.norm(rest, axis=1)
-    codes = np.packbits(rest > 0, axis=1)
-    fit = (rest * _signs(codes, vectors.shape[1])).sum(axis=1) / np.maximum(length, 1e-12)
+    codes = _words(rest > 0)
+    fit = (rest * _signs(codes)).sum(axis=1) / (np.maximum(length, 1e-12) * np.float32(np.sqrt(turn.shape[1])))
     return codes, length, np.where(length > 1e-6, fit, 1.0)
 
 
+def nearest_cells(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return vectors @ centres.T - (centres**2).sum(axis=1) / 2
+
+
+def k_means(sample: np.ndarray, wanted: int, turns: int = 5) -> np.ndarray:
+    """Centroids in two levels, so that the work grows with the root of their number."""
+    def flat(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        centres = rows[np.linspace(0, len(rows) - 1, min(n, len(rows))).astype(int)].copy()
+        for _ in range(turns):
+            near = nearest_cells(rows, centres).argmax(axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, rows)
+            count = np.bincount(near, minlength=len(centres))
+            some = count > 0
+            centres[some] = sums[some] / count[some, None]
+        return centres, nearest_cells(rows, centres).argmax(axis=1)
+
+    if wanted <= 1024:
+        return flat(sample, wanted)[0]
+    coarse, near = flat(sample, int(wanted**0.5))
+    return np.concatenate([flat(sample[near == c], max(1, round(wanted * int((near == c).sum()) / len(sample))))[0] for c in range(len(coarse)) if (near == c).any()])
+
+
 class Block:
     """Codes to be searched, in the order of their cells."""
 
     def __init__(self, ids, vectors, cells, codes, length, fit, centres, turn):
         order = np.argsort(cells, kind="stable")
-        self.ids, self.vectors, self.cells, self.length, self.turn = ids[order], vectors[order], cells[order], length[order], turn
-        dim = vectors.shape[1]
-        self.signs = _signs(codes[order], dim)
-        self.fit = np.maximum(fit[order], 1e-3)
-        self.own, self.start, self.column = np.unique(self.cells, return_index=True, return_inverse=True)
+        self.ids, self.vectors, self.cells, self.turn = ids[order], vectors[order], cells[order], turn
+        self.own, self.start = np.unique(self.cells, return_index=True)
         self.stop = np.append(self.start[1:], len(self.cells))
         self.centres = centres[self.own]
-        self.radius = np.maximum.reduceat(self.length, self.start) if len(self.cells) else np.zeros(0)
-        self.shift = ((self.centres @ turn)[self.column] * self.signs).sum(axis=1)
-        self.error = (np.sqrt(np.maximum(1 - self.fit**2, 0)) / self.fit * (EPSILON / np.sqrt(max(dim - 1, 1)))).astype(np.float32)
-
-    def _bounds(self, turned: np.ndarray, away: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(vectors of the cells, lower and upper bound of each query's squared distance to each)."""
-        at = ranges(self.start[cells], self.stop[cells] - self.start[cells])
-        far = away[:, self.column[at]]
-        length = self.length[at]
-        middle = (turned @ self.signs[at].T - self.shift[at]) * (-2 * length / self.fit[at]) + far
-        middle += length**2
-        slack = np.sqrt(far, out=far)
-        slack *= 2 * length * self.error[at]
-        slack += 1e-5
-        return at, middle - slack, middle + slack
-
-    def search(self, ids: np.ndarray, queries: np.ndarray, within: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query's id, neighbour's id, similarity) of the k best each, of squared distance ``within`` at most."""
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for s in range(0, len(ids), _TILE):
-            q, qid, most = queries[s : s + _TILE], ids[s : s + _TILE], within[s : s + _TILE].astype(np.float32)
-            away = np.maximum((q**2).sum(axis=1)[:, None] - 2 * (q @ self.centres.T) + (self.centres**2).sum(axis=1), 0)  # squared, to each centre
-            turned = q @ self.turn
-            if np.isinf(most).any():  # the cells nearest to the tile's queries, until they hold k others, bound all else
-                near = np.unique(away.argmin(axis=1))
-                for c in np.argsort(away.mean(axis=0)):
-                    if (self.stop[near] - self.start[near]).sum() > k:
-                        break
-                    near = np.union1d(near, [c])
-                at, _, upper = self._bounds(turned, away, near)
-                upper[qid[:, None] == self.ids[at][None, :]] = np.inf
-                if upper.shape[1] > k:
-                    most = np.minimum(most, np.partition(upper, k - 1, axis=1)[:, k - 1])
-            reach = np.sqrt(most)[:, None] + self.radius[None, :]
-            cells = np.flatnonzero((away <= np.where(np.isinf(reach), np.inf, (reach + 1e-4) ** 2)).any(axis=0))
-            if not len(cells):
-                continue
-            at, lower, upper = self._bounds(turned, away, cells)
-            same = qid[:, None] == self.ids[at][None, :]
-            upper[same] = np.inf
-            if len(at) > k:
-                most = np.minimum(most, np.partition(upper, k - 1, axis=1)[:, k - 1])
-            candidate = (lower <= most[:, None]) & ~same
-            some = np.flatnonzero(candidate.any(axis=0))
-            if not len(some):
-                continue
-            # the exact comparison of the candidates; then the k best, with all that tie for the last place
-            exact = np.where(candidate[:, some], q @ self.vectors[at[some]].T, np.float32(-9))
-            last = np.partition(exact, len(some) - k, axis=1)[:, len(some) - k] if len(some) > k else np.full(len(q), np.float32(-8))
-            row, col = np.nonzero(exact >= np.maximum(last, np.float32(-8))[:, None] - np.float32(1e-6))
-            col = at[some[col]]
-            value = np.einsum("ij,ij->i", q[row].astype(np.float64), self.vectors[col].astype(np.float64))
-            order = np.lexsort((self.ids[col], -value, row))
-            row, col, value = row[order], col[order], value[order]
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-            top = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
-            out.append((qid[row[top]], self.ids[col[top]], value[top]))
-        if not out:
+        self.codes = np.ascontiguousarray(codes[order].T)
+        wide = turn.shape[1]
+        length, fit = length[order].astype(np.float32), np.maximum(fit[order], 1e-3).astype(np.float32)
+        # squared distance = away + base - scale * dot, dot the sum of the query's numbers with the code's signs
+        self.scale = np.maximum(2 * length / (fit * np.float32(np.sqrt(wide))), np.float32(1e-9))
+        turned = self.centres @ turn
+        at = np.repeat(np.arange(len(self.own)), self.stop - self.start)
+        shift = np.concatenate([np.zeros(0, np.float32), *((_signs(codes[order[s : s + 4096]]) * turned[at[s : s + 4096]]).sum(axis=1) for s in range(0, len(order), 4096))])
+        self.base = (length**2 + self.scale * shift).astype(np.float32)
+        # a vector lies within its cell's loosest error
+        self.loose = 1 - np.minimum.reduceat(fit, self.start) ** 2 if len(order) else np.zeros(0, np.float32)
+        self.bound = np.float32(EPSILON * np.sqrt(wide / max(wide - 1, 1)))
+        self.compared = self.estimated = 0
+
+    def query_codes(self, queries: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(signs, magnitudes, the lower level, the sum of all levels, what is lost) of each query."""
+        turned = queries @ self.turn
+        level = _LEVEL * np.sqrt((turned**2).mean(axis=1))
+        high = np.abs(turned) > (_EDGE / _LEVEL) * level[:, None]
+        lost = np.linalg.norm(np.abs(turned) - level[:, None] * (1 + high * (_MORE / _PER)), axis=1)
+        every = level * (turned.shape[1] + high.sum(axis=1) * (_MORE / _PER))
+        return _words(turned > 0), _words(high), level.astype(np.float32), every.astype(np.float32), lost.astype(np.float32)
+
+    def _unlike(self, code: tuple[np.ndarray, ...], rows: np.ndarray, a: int, z: int) -> np.ndarray:
+        """What signs that differ take from a query's sum of levels, in units of 2 * level / _PER, by XOR and popcount."""
+        sign, high = code[0][rows], code[1][rows]
+        out, great = np.zeros((len(rows), z - a), np.uint16), np.zeros((len(rows), z - a), np.uint16)
+        x, ones = np.empty(out.shape, np.uint64), np.empty(out.shape, np.uint8)
+        for w, word in enumerate(self.codes[:, a:z]):
+            np.bitwise_xor(sign[:, w, None], word[None, :], out=x)
+            np.add(out, np.bitwise_count(x, out=ones), out=out)
+            np.bitwise_and(x, high[:, w, None], out=x)
+            np.add(great, np.bitwise_count(x, out=ones), out=great)
+        out *= _PER
+        great *= _MORE
+        out += great
+        return out
+
+    def _slack(self, code: tuple[np.ndarray, ...], rows: np.ndarray, away: np.ndarray, cell: int) -> np.ndarray:
+        """The bound of the error of a query's dot."""
+        return self.bound * np.sqrt(self.loose[cell] * away + code[4][rows] ** 2)
+
+    def estimates(self, code: tuple[np.ndarray, ...], rows: np.ndarray, away: np.ndarray, cell: int, a: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+        """(estimated squared distance, its slack) of queries (rows of the codes) to the vectors from a to z of a cell."""
+        dot = code[3][rows][:, None] - self._unlike(code, rows, a, z) * (2 / _PER * code[2][rows])[:, None]
+        return away[:, None] + self.base[None, a:z] - self.scale[None, a:z] * dot, self.scale[None, a:z] * self._slack(code, rows, away, cell)[:, None] + np.float32(1e-5)
+
+    def within(self, code: tuple[np.ndarray, ...], rows: np.ndarray, away: np.ndarray, limit: np.ndarray, cell: int, a: int, z: int) -> np.ndarray:
+        """True where the lower bound of the squared distance isn't over the query's limit: what is unlike may be so much
+        at most, a number for each pair that is a product of three for the query and three for the vector."""
+        unit_of = _PER / (2 * code[2][rows])
+        left = np.stack([(code[3][rows] + self._slack(code, rows, away, cell)) * unit_of, -unit_of, (limit + np.float32(1.2e-5) - away) * unit_of])
+        right = np.stack([np.ones(z - a, np.float32), self.base[a:z] / self.scale[a:z], 1 / self.scale[a:z]])
+        return self._unlike(code, rows, a, z) <= left.T.astype(np.float32) @ right
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, asked: np.ndarray, cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's row, neighbour's id, similarity): of each query, the k best of the cells that it asks for (asked:
+        rows of queries, with each a cell, the nearest cells of a query first)."""
+        code = self.query_codes(queries)
+        best = np.full((len(ids), k), np.float32(-2))  # similarities so far
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at = np.searchsorted(self.own, cells)
+        there = self.own[np.minimum(at, len(self.own) - 1)] == cells
+        asked, at = asked[there], at[there]
+        # a query's first cell, its next two, four, ...: each time it knows better what is near
+        turn_of = np.log2(np.arange(len(asked)) - np.searchsorted(asked, asked) + 1).astype(np.int64)
+        order = np.lexsort((asked, at, turn_of))
+        asked, at, turn_of = asked[order], at[order], turn_of[order]
+        edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (turn_of[1:] != turn_of[:-1]), True]) if len(at) else np.zeros(1, int)
+        for p, q in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            cell = int(at[p])
+            first, last = int(self.start[cell]), int(self.stop[cell])
+            step = max(1, _PAIRS // max(1, min(last - first, 4096)))
+            for s in range(p, q, step):
+                rows = asked[s : min(q, s + step)]
+                away = ((queries[rows] - self.centres[cell]) ** 2).sum(axis=1)
+                for a in range(first, last, 4096):
+                    self._compare(code, ids, queries, rows, away.astype(np.float32), cell, a, min(last, a + 4096), k, best, found)
+        if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+        row, col, value = (np.concatenate([f[i] for f in found]) for i in range(3))
+        good = value >= best[row, 0] - 1e-6
+        row, col, value = row[good], col[good], value[good]
+        order = np.lexsort((self.ids[col], -value, row))
+        row, col, value = row[order], col[order], value[order]
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+        top = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)])) < k
+        return row[top], self.ids[col[top]], value[top]
+
+    def _compare(self, code, ids, queries, rows, away, cell, a, z, k, best, found) -> None:
+        limit = 2 - 2 * best[rows, 0]
+        if (none := np.flatnonzero(best[rows, 0] < -1.5)).size and z - a > k:  # no k-th distance yet: the k-th upper bound here, the query itself aside
+            middle, slack = self.estimates(code, rows[none], away[none], cell, a, z)
+            limit[none] = np.minimum(limit[none], np.partition(middle + slack, k, axis=1)[:, k])
+        r, c = np.nonzero(self.within(code, rows, away, limit, cell, a, z))
+        self.estimated += len(rows) * (z - a)
+        c += a
+        other = ids[rows[r]] != self.ids[c]
+        r, c = r[other], c[other]
+        self.compared += len(r)
+        if not len(r):
+            return
+        value = np.concatenate([np.einsum("ij,ij->i", queries[rows[r[i : i + 65536]]].astype(np.float64), self.vectors[c[i : i + 65536]].astype(np.float64)) for i in range(0, len(r), 65536)])
+        good = value >= best[rows[r], 0] - 1e-6
+        r, c, value = r[good], c[good], value[good]
+        if not len(r):
+            return
+        found.append((rows[r], c, value))
+        start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        size = np.diff(np.r_[start, len(r)])
+        wide = np.full((len(start), k + int(size.max())), np.float32(-2))
+        who = rows[r[start]]
+        wide[:, :k] = best[who]
+        wide[np.repeat(np.arange(len(start)), size), k + np.arange(len(r)) - np.repeat(start, size)] = value
+        best[who] = np.partition(wide, wide.shape[1] - k, axis=1)[:, wide.shape[1] - k :]
+        best[who, 0], best[who, best[who].argmin(axis=1)] = best[who].min(axis=1), best[who, 0].copy()
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, kind, width: int) -> np.ndarray:
@@ -138,116 +240,194 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).astype(kind).reshape(-1, width)
 
 
-def _usable(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    df = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
-    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e150))) & F.exists("v", lambda x: x != 0)
+def unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _usable(df: DataFrame) -> tuple[DataFrame, int]:
+    df = df.select("doc_id", F.col("v").cast("array<double>").alias("v"))
+    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     df = df.where((F.size("v") > 0) & F.coalesce(good, F.lit(False)))
     sizes = df.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return df.where(F.size("v") == (sizes[0] if sizes else 0)).groupBy("vec_id").agg(F.min("v").alias("v")), sizes[0] if sizes else 0
+    return df.where(F.size("v") == (sizes[0] if sizes else 0)).groupBy("doc_id").agg(F.min("v").alias("v")), sizes[0] if sizes else 0
 
 
-def nearest(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def _by_hash(df: DataFrame, share: float, salt: int) -> DataFrame:
+    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+
+
+def nearest(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", cell: int = CELL, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+    """vec_id, rank, neighbour, similarity."""
     spark = reachable(df.sparkSession)
-    schema = "vec_id bigint, rank int, neighbour bigint, similarity double"
-    unique, dim = _usable(df, id_col, vec_col)
+    rows, names = numbered(df, id_col, vec_col, "v")
+    kind = dict(df.select(F.col(id_col).alias("id")).dtypes)["id"] if names is not None else "bigint"
+    rows, dim = _usable(rows)
     if not dim:
-        return spark.createDataFrame([], schema)
-    unique = stored(unique, "vectors")
-    total = unique.count()
+        return spark.createDataFrame([], f"vec_id {kind}, rank int, neighbour {kind}, similarity double")
+    rows = stored(rows, "vectors")
+    total = rows.count()
     turn = rotation(dim)
-
-    # centroids: rows spread by hash, moved a few times to the mean of a sample; they only decide what is skipped
-    wanted = int(min(1024, max(1, total**0.5 / 2)))
-    share = min(1.0, wanted * 32 / total)
-    sample = np.array([r[0] for r in unique.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("vec_id")).select("v").collect()] or [unique.first()[1]])
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    centres = sample[:wanted].copy()
-    for _ in range(5):
-        near = (sample @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
-        for c in np.unique(near):
-            centres[c] = sample[near == c].mean(axis=0)
+    wanted = max(1, min(CENTRES, total // cell))
+    sample = [r[0] for r in _by_hash(rows, wanted * 32 / total, 1).orderBy("doc_id").select("v").collect()] or [rows.first()[1]]
+    centres = k_means(unit(np.array(sample)), wanted)
     # neighbouring cells get neighbouring numbers, so that blocks are compact
-    centres = centres[np.lexsort(((centres - centres.mean(axis=0)) @ np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][:2].T).T[::-1])] if len(centres) > 2 else centres
+    if len(centres) > 2:
+        middle = centres - centres.mean(axis=0)
+        group = (middle @ np.linalg.svd(middle, full_matrices=False)[2][: max(1, int(np.log2(len(centres))) // 2)].T > 0) @ (1 << np.arange(max(1, int(np.log2(len(centres))) // 2)))
+        centres = centres[np.lexsort((middle @ np.linalg.svd(middle, full_matrices=False)[2][0], group))]
     centres = centres.astype(np.float32)
     shared = spark.sparkContext.broadcast((centres, turn))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, turn = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = _matrix(batch.column("v"), np.float64, dim)
-            v = (v / np.abs(v).max(axis=1, keepdims=True))
-            v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-            cell = np.concatenate([(v[s : s + 4096] @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1) for s in range(0, len(v), 4096)])
-            codes, length, fit = encode(v, centres[cell], turn)
-            yield pa.RecordBatch.from_pydict({
-                "vec_id": batch.column("vec_id"), "cell": pa.array(cell.astype(np.int32)), "v": pa.array([x.tobytes() for x in v], pa.binary()),
-                "code": pa.array([x.tobytes() for x in codes], pa.binary()), "length": pa.array(length.astype(np.float32)), "fit": pa.array(fit.astype(np.float32)),
-            })
-
-    coded = stored(in_batches(unique, code, "vec_id bigint, cell int, v binary, code binary, length float, fit float"), "codes")
-    sizes = {r[0]: (r[1], r[2]) for r in coded.groupBy("cell").agg(F.count("*"), F.max("length")).collect()}
+            for s in range(0, batch.num_rows, 4096):
+                part = batch.slice(s, 4096)
+                v = unit(_matrix(part.column("v"), np.float64, dim))
+                home = nearest_cells(v, centres).argmax(axis=1)
+                codes, length, fit = encode(v, centres[home], turn)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column("doc_id"), "cell": pa.array(home.astype(np.int32)), "v": pa.array([x.tobytes() for x in v], pa.binary()),
+                    "code": pa.array([x.tobytes() for x in codes], pa.binary()), "length": pa.array(length.astype(np.float32)), "fit": pa.array(fit.astype(np.float32)),
+                })
+
+    coded = stored(in_batches(rows, code, "doc_id bigint, cell int, v binary, code binary, length float, fit float"), "codes")
+    discard(rows)
+    sizes = np.zeros(len(centres), np.int64)
+    for r in coded.groupBy("cell").count().collect():
+        sizes[r[0]] = r[1]
+    probes = _probes(coded, centres, k, dim, total)
+
     # blocks of whole cells; a cell larger than a block is spread over several by hash
-    first, parts, filled, number = {}, {}, 0, 0
-    for c in sorted(sizes):
-        n = sizes[c][0]
+    first, parts, filled, number = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // block)), 0, 0
+    for c, n in enumerate(sizes.tolist()):
         if filled and filled + n > block:
             number, filled = number + 1, 0
-        first[c], parts[c] = number, max(1, -(-n // block))
+        first[c] = number
         filled += n
         if parts[c] > 1:
-            number, filled = number + parts[c], 0
-    place = spark.createDataFrame([(c, first[c], parts[c]) for c in sorted(sizes)], "cell int, first int, parts int")
-    placed = coded.join(F.broadcast(place), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int")).drop("first", "parts")
-
-    def load(rows: pa.Table) -> Block:
-        centres, turn = shared.value
-        get = lambda c: rows.column(c).to_numpy()
-        return Block(get("vec_id"), _matrix(rows.column("v"), np.float32, dim), get("cell"), _matrix(rows.column("code"), np.uint8, -(-dim // 8)), get("length"), get("fit"), centres, turn)
+            number, filled = number + int(parts[c]), 0
+    blocks = number + 1
+    of_cell = spark.sparkContext.broadcast((sizes, first, parts))
+
+    def cells_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell): the cells that each query asks for, the nearest first: as many as were measured, and as many
+        as hold k others."""
+        sizes = of_cell.value[0]
+        near = nearest_cells(v, shared.value[0])
+        n = probes
+        while True:
+            some = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < near.shape[1] else np.broadcast_to(np.arange(near.shape[1]), near.shape)
+            if n >= near.shape[1] or (sizes[some].sum(axis=1) > k).all():
+                break
+            n = min(2 * n, near.shape[1])
+        order = np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable")
+        return np.repeat(np.arange(len(v)), n), np.take_along_axis(some, order, 1).ravel()
+
+    def asked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes]]]:
+        """(rows, place in them, block, cells asked for there): each query once for each block."""
+        _, first, parts = of_cell.value
+        for s in range(0, batch.num_rows, 1024):
+            part = batch.slice(s, 1024)
+            row, cell = cells_of(_matrix(part.column("v"), np.float32, dim))
+            times = parts[cell]
+            row, cell, to = np.repeat(row, times), np.repeat(cell, times), np.repeat(first[cell], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            order = np.lexsort((np.arange(len(row)), to, row))
+            row, cell, to = row[order], cell[order].astype(np.int32), to[order]
+            edge = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (to[1:] != to[:-1]), True])
+            yield part, row[edge[:-1]], to[edge[:-1]], [cell[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, to, _ in asked(batch):
+                at, n = np.unique(to, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"block": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    def table_of(found) -> pa.Table:
-        return pa.table({"vec_id": pa.array(found[0], pa.int64()), "neighbour": pa.array(found[1], pa.int64()), "similarity": pa.array(found[2], pa.float64())})
+    slots = np.ones(blocks, np.int64)
+    for r in in_batches(coded.select("v"), count, "block bigint, n bigint").groupBy("block").agg(F.sum("n")).collect():
+        slots[r[0]] = max(1, -(-r[1] // queries))
+    slots_of = spark.sparkContext.broadcast(slots)
 
-    def within_block(rows: pa.Table) -> pa.Table:
-        b = load(rows)
-        return table_of(b.search(b.ids, b.vectors, np.full(len(b.ids), np.inf), k))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, row, to, cells in asked(batch):
+                ids = np.asarray(part.column("doc_id"))[row]
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array(to, pa.int64()), "slot": pa.array(ids % slots_of.value[to], pa.int64()), "query": pa.array(ids, pa.int64()),
+                    "q": part.column("v").take(pa.array(row)), "cells": pa.array(cells, pa.binary()),
+                })
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, first, parts = of_cell.value
+        for batch in batches:
+            cell, ids = (np.asarray(batch.column(c)).astype(np.int64) for c in ("cell", "doc_id"))
+            to = first[cell] + (ids * 2654435761 >> 7) % parts[cell]
+            row = np.repeat(np.arange(len(to)), slots_of.value[to])
+            slot = np.arange(len(row)) - np.repeat(np.cumsum(slots_of.value[to]) - slots_of.value[to], slots_of.value[to])
+            out = {"block": pa.array(to[row]), "slot": pa.array(slot)}
+            yield pa.RecordBatch.from_pydict(out | {c: batch.column(c).take(pa.array(row)) for c in ("doc_id", "cell", "v", "code", "length", "fit")})
+
+    def search(vectors: pa.Table, asks: pa.Table) -> pa.Table:
+        out = {"vec_id": [], "found": []}
+        if vectors.num_rows and asks.num_rows:
+            centres, turn = shared.value
+            get = lambda c: vectors.column(c).to_numpy()
+            words = turn.shape[1] // 64
+            b = Block(get("doc_id"), _matrix(vectors.column("v"), np.float32, dim), get("cell"), _matrix(vectors.column("code"), np.uint64, words), get("length"), get("fit"), centres, turn)
+            for part in asks.to_batches(max_chunksize=8192):
+                cells = [np.frombuffer(x, np.int32) for x in part.column("cells").to_pylist()]
+                ids = np.asarray(part.column("query"))
+                row, other, value = b.search(ids, _matrix(part.column("q"), np.float32, dim), np.repeat(np.arange(len(ids)), [len(c) for c in cells]), np.concatenate(cells), k)
+                edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True]) if len(row) else np.zeros(1, int)
+                for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    out["vec_id"].append(int(ids[row[x]]))
+                    out["found"].append([{"away": -v, "neighbour": o} for v, o in zip(value[x:y].tolist(), other[x:y].tolist())])
+        return pa.table({"vec_id": pa.array(out["vec_id"], pa.int64()), "found": pa.array(out["found"], pa.list_(pa.struct([("away", pa.float64()), ("neighbour", pa.int64())])))})
 
-    pairs = "vec_id bigint, neighbour bigint, similarity double"
-    blocks = len({first[c] + i for c in sizes for i in range(parts[c])})
     # the number of partitions is given: by their bytes few would do, by their work each block is a task
-    own = stored(placed.repartition(2 * blocks, "block").groupBy("block").applyInArrow(within_block, pairs), "near")
-    # how far a query's k-th neighbour can be: 4 (opposite) where its block has fewer than k others
-    reach = own.groupBy("vec_id").agg(F.when(F.count("*") >= k, F.greatest(F.lit(0.0), 2 - 2 * F.min("similarity"))).otherwise(4.0).alias("within"))
-    placed = stored(placed.join(reach, "vec_id", "left").withColumn("within", F.coalesce("within", F.lit(4.0)).cast("float")), "placed")
-
-    # which blocks can hold a neighbour of a cell's queries: |query - centre| is at most the cell's radius
-    by_cell = {(r[0], r[1]): (r[2], r[3]) for r in placed.groupBy("block", "cell").agg(F.max("length"), F.max("within")).collect()}
-    keys = sorted(by_cell)
-    radius, far = (np.array([by_cell[x][i] for x in keys], np.float64) for i in (0, 1))
-    at, of = np.array([x[1] for x in keys]), np.array([x[0] for x in keys])
-    visits: set[tuple[int, int, int]] = set()
-    for i in range(len(keys)):
-        gap = np.linalg.norm(centres[at].astype(np.float64) - centres[at[i]], axis=1) - radius - radius[i]
-        for b in np.unique(of[(gap <= np.sqrt(far[i]) + 1e-4) & (of != of[i])]).tolist():
-            visits.add((int(of[i]), int(at[i]), b))
-
-    def across(key: tuple, rows: pa.Table) -> pa.Table:
-        asks = rows.column("asks").to_numpy(zero_copy_only=False)
-        b, q = load(rows.filter(pa.array(~asks))), rows.filter(pa.array(asks)).sort_by("cell")
-        return table_of(b.search(q.column("vec_id").to_numpy(), _matrix(q.column("v"), np.float32, dim), q.column("within").to_numpy().astype(np.float64) + 1e-6, k))
-
-    found = own
-    if visits:
-        go = F.broadcast(spark.createDataFrame(sorted(visits), "block int, cell int, other int"))
-        asking = placed.join(go, ["block", "cell"]).withColumn("asks", F.lit(True))
-        asked = placed.join(F.broadcast(spark.createDataFrame(sorted({(v[0], v[2]) for v in visits}), "from int, block int")), "block").withColumn("asks", F.lit(False))
-        cols = ["vec_id", "cell", "v", "code", "length", "fit", "within", "asks"]
-        both = asking.select(F.col("block").alias("from"), F.col("other").alias("to"), *cols).union(asked.select("from", F.col("block").alias("to"), *cols))
-        tasks = len({(v[0], v[2]) for v in visits})
-        found = own.union(both.repartition(2 * tasks, "from", "to").groupBy("from", "to").applyInArrow(across, pairs))
-    order = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour", "similarity")
+    tasks = int(2 * slots.sum())
+    asks = in_batches(coded.select("doc_id", "v"), ask, "block bigint, slot bigint, query bigint, q binary, cells binary").repartition(tasks, "block", "slot")
+    placed = in_batches(coded, place, "block bigint, slot bigint, doc_id bigint, cell int, v binary, code binary, length float, fit float").repartition(tasks, "block", "slot")
+    found = in_groups(placed.groupBy("block", "slot").cogroup(asks.groupBy("block", "slot")), search, "vec_id bigint, found array<struct<away:double,neighbour:bigint>>")
+    best = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    out = best.select("vec_id", F.posexplode("found").alias("rank", "one")).select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("one.neighbour").alias("neighbour"), (-F.col("one.away")).alias("similarity"))
+    return renamed(out, names, "vec_id", "neighbour")
+
+
+def _probes(coded: DataFrame, centres: np.ndarray, k: int, dim: int, total: int) -> int:
+    """The number of nearest cells that hold RECALL of the true neighbours of a sample of queries."""
+    spark = coded.sparkSession
+    rows = _by_hash(coded, PROBE / total, 2).select("doc_id", "v").collect()
+    if not rows or len(centres) == 1:
+        return len(centres)
+    ids = np.array([r[0] for r in rows])
+    q = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.float32).reshape(-1, dim)
+    shared = spark.sparkContext.broadcast((ids, q))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        kept = [np.zeros((len(q), 0))] * 3
+        for batch in batches:
+            for s in range(0, batch.num_rows, 4096):
+                part = batch.slice(s, 4096)
+                own = np.asarray(part.column("doc_id"))
+                like = q @ _matrix(part.column("v"), np.float32, dim).T
+                like[ids[:, None] == own[None, :]] = -9
+                now = (like, np.broadcast_to(np.asarray(part.column("cell")), like.shape), np.broadcast_to(own, like.shape))
+                kept = [np.concatenate([a, b], axis=1) for a, b in zip(kept, now)]
+                if kept[0].shape[1] > k:
+                    top = np.argpartition(-kept[0], k - 1, axis=1)[:, :k]
+                    kept = [np.take_along_axis(a, top, 1) for a in kept]
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.repeat(np.arange(len(q)), kept[0].shape[1])), "like": pa.array(kept[0].ravel().astype(np.float64)), "cell": pa.array(kept[1].ravel().astype(np.int64))})
+
+    found = in_batches(coded.select("doc_id", "cell", "v"), work, "at bigint, like double, cell bigint").where("like > -9").collect()
+    best: dict[int, list[tuple[float, int]]] = {}
+    for r in found:
+        best.setdefault(r[0], []).append((-r[1], r[2]))
+    place = np.argsort(np.argsort(-nearest_cells(q, centres), axis=1), axis=1)
+    ranks = np.sort([place[i, c] for i, own in best.items() for _, c in sorted(own)[:k]])
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(RECALL * len(ranks))) - 1)]) + 1 if len(ranks) else len(centres)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,31 +333,71 @@ def recall(spark, ids, vectors, k=10, **more):
 
 def test_neighbours_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
-    assert recall(spark, [r.vec_id for r in rows], np.array([r.embedding for r in rows]), block=300) >= 0.95
+    assert recall(spark, [r.vec_id for r in rows], np.array([r.embedding for r in rows]), cell=50, block=300, queries=500) >= 0.95
+
+
+def test_neighbours_of_clusters_need_few_cells(spark, monkeypatch):
+    """Vectors with cluster structure: a few cells are searched, few vectors compared exactly."""
+    rng = np.random.default_rng(6)
+    middles = rng.standard_normal((40, 24))
+    v = np.concatenate([m + 0.15 * rng.standard_normal((40, 24)) for m in middles])
+    asked, real = [], neighbours._probes
+    monkeypatch.setattr(neighbours, "_probes", lambda *a: asked.append(real(*a)) or asked[-1])
+    assert recall(spark, list(range(len(v))), v, cell=40, block=400) >= 0.95 and asked[0] <= 20
 
 
 def test_neighbours_ties_and_few(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((20, 9))
-    assert recall(spark, list(range(300)), np.concatenate([base] * 15), block=64) >= 0.99  # copies: by id
+    assert recall(spark, list(range(300)), np.concatenate([base] * 15), cell=30, block=64, queries=50) >= 0.99  # copies: by id
     assert recall(spark, [5, 9, 2], rng.standard_normal((3, 4))) == 1.0
 
 
 def test_neighbours_odd_rows(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], "x"), (2, [0.9, 0.1], "x"), (3, None, "x"), (4, [], "x"), (5, [nan, 1.0], "x"), (6, [0.0, 0.0], "x"), (7, [1.0, 2.0, 3.0], "x"), (8, [None, 1.0], "x"), (None, [1.0, 1.0], "x"), (2, [0.9, 0.1], "y")]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, code string")
-    assert [(r.vec_id, r.rank, r.neighbour) for r in neighbours.nearest(df).orderBy("vec_id").collect()] == [(1, 1, 2), (2, 1, 1)]
+    rows += [(9, [1e300, 0.0], "x"), (10, [0.0, 1e-300], "x"), (11, [float("inf"), 1.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, v string")
+    got = {}
+    for r in neighbours.nearest(df).orderBy("vec_id", "rank").collect():
+        got.setdefault(r.vec_id, []).append(r.neighbour)
+    assert got == {1: [9, 2, 10], 2: [1, 9, 10], 9: [1, 2, 10], 10: [2, 1, 9]}
     assert not neighbours.nearest(df.where("vec_id = 3")).collect() and not neighbours.nearest(df.where("vec_id = 1")).collect()
+    named = neighbours.nearest(df.selectExpr("concat('v', vec_id) as vec_id", "embedding")).orderBy("vec_id", "rank").collect()
+    assert {(r.vec_id, r.neighbour) for r in named if r["rank"] == 1} == {("v1", "v9"), ("v2", "v1"), ("v9", "v1"), ("v10", "v2")}
+    assert neighbours.nearest(df.where("vec_id = 3").selectExpr("concat('v', vec_id) as vec_id", "embedding")).columns == ["vec_id", "rank", "neighbour", "similarity"]
 
 
 def test_estimates_lie_within_their_bounds():
     rng = np.random.default_rng(4)
     v = rng.standard_normal((400, 64)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    centres, turn = np.zeros((1, 64), np.float32), neighbours.rotation(64)
+    centres, turn = v[:4].copy() * np.float32(0.3), neighbours.rotation(64)
+    assert np.allclose(turn @ turn.T, np.eye(64), atol=1e-4)
+    cells = neighbours.nearest_cells(v, centres).argmax(axis=1)
+    block = neighbours.Block(np.arange(400), v, cells, *neighbours.encode(v, centres[cells], turn), centres, turn)
+    code, every = block.query_codes(v), np.arange(400)
+    for cell in range(len(block.own)):
+        a, z = int(block.start[cell]), int(block.stop[cell])
+        away = ((v - block.centres[cell]) ** 2).sum(axis=1)
+        true = ((v[:, None] - block.vectors[None, a:z]) ** 2).sum(axis=2)
+        middle, slack = block.estimates(code, every, away, cell, a, z)
+        assert (np.abs(middle - true) <= slack).mean() > 0.96 and slack.mean() < 0.3
+        limit = np.full(400, 1.2, np.float32)
+        inside = block.within(code, every, away, limit, cell, a, z)
+        assert (inside != (middle - slack <= limit[:, None])).mean() < 0.01 and inside[true <= 1.2].mean() > 0.98
+
+
+def test_xor_and_popcount_give_the_inner_product_of_the_codes():
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((50, 10)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    centres, turn = np.zeros((1, 10), np.float32), neighbours.rotation(10)
     codes, length, fit = neighbours.encode(v, centres, turn)
-    block = neighbours.Block(np.arange(400), v, np.zeros(400, int), codes, length, fit, centres, turn)
-    dot = ((v @ turn) @ block.signs.T - block.shift) / block.fit
-    off = np.abs(dot * length - v @ v.T)
-    assert (off <= length * block.error + 1e-5).mean() > 0.98
+    block = neighbours.Block(np.arange(50), v, np.zeros(50, int), codes, length, fit, centres, turn)
+    code = block.query_codes(v)
+    turned = v @ turn
+    level = code[2][:, None]
+    coded = np.sign(turned) * np.where(np.abs(turned) > neighbours._EDGE / neighbours._LEVEL * level, level * (1 + 7 / 3), level)
+    dot = code[3][:, None] - block._unlike(code, np.arange(50), 0, 50) * (2 / 3 * level)
+    assert np.allclose(dot, coded @ neighbours._signs(codes).T, atol=1e-3)
