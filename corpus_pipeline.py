@@ -2,8 +2,10 @@
 removal by n-gram Jaccard join, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of their
-input. What a stage returns is written as Parquet and read again by the next one. Stages keep rows with null
-ids, and rows that they have no reason to reject; a null text is rejected by the first stage.
+input. What a stage returns is written as Parquet and read again by the next one, and removed when that has
+returned. Stages keep rows with null ids, and rows that they have no reason to reject; a null text is rejected by the
+first stage; an empty table gives an empty table; further columns, whatever their names, pass through all stages but
+the last.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm import language, line_dedup, ngram_join, packing, quality
-from readloom.llm.common import stored
+from readloom.llm.common import discard, stored
 from readloom.plans.session import reachable
 
 
@@ -53,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = reachable(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = reachable(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
