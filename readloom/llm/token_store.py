@@ -12,7 +12,7 @@ Documents are tokenised once: the ids are written to the shared folder, counted
 Result: one row of kind 'table' (payload: the frequencies, zlib-compressed) and rows of kind 'block' with
 doc_ids, starts and lengths (which ids of which documents the block holds, in order), payload, checkpoints,
 checksums (of each stretch) and checksum (of the ids). Defined results: a null text has a length of null, an
-empty one of 0, in the block where its turn comes; null ids and repeated rows are carried like any other;
+empty one of 0, in the block where its turn comes; null ids, ids of any type and repeated rows are carried like any other;
 further columns are dropped; an empty table gives an empty frequency table and no blocks.
 """
 
@@ -35,26 +35,34 @@ STRIDE = 256
 BITS = 20
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
-_SCALE = np.uint64(BITS)
 
-SCHEMA = (
-    "kind string, doc_ids array<bigint>, starts array<bigint>, lengths array<bigint>, n_tokens bigint, payload binary, "
-    "checkpoints binary, checksums array<bigint>, checksum bigint"
-)
+
+def schema(kind: str) -> str:
+    """kind: the type of the documents' ids."""
+    return (
+        f"kind string, doc_ids array<{kind}>, starts array<bigint>, lengths array<bigint>, n_tokens bigint, payload binary, "
+        "checkpoints binary, checksums array<bigint>, checksum bigint"
+    )
+
+
+def _bits(freqs: np.ndarray) -> int:
+    """The frequencies add up to a power of two."""
+    return max(0, int(freqs.sum()).bit_length() - 1)
+
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
-    """Frequencies with the sum 2**BITS, at least 1 for each id that occurs."""
+    """Frequencies, at least 1 for each id that occurs, with the sum 2**BITS, or a greater power of two if there are
+    so many different ids that they would take more than half of it."""
     total, out = int(counts.sum()), np.zeros(len(counts), np.int64)
     if not total:
         return out
     here = counts > 0
-    spare = (1 << BITS) - int(here.sum())
-    if spare < 0:
-        raise ValueError(f"more than {1 << BITS} different ids")
+    bits = max(BITS, int(here.sum()).bit_length())
+    spare = (1 << bits) - int(here.sum())
     share = counts[here] * (spare / total)
     out[here] = 1 + np.floor(share).astype(np.int64)
-    rest = (1 << BITS) - int(out.sum())
+    rest = (1 << bits) - int(out.sum())
     order = np.argsort(-counts, kind="stable")[: int(here.sum())]
     out[order] += rest // len(order)
     out[order[: rest % len(order)]] += 1
@@ -65,7 +73,9 @@ def encode_blocks(freqs: np.ndarray, blocks: list[np.ndarray]) -> list[tuple[byt
     """(payload, checkpoints, checksum of each stretch, checksum of the ids) of each block, all at once."""
     if not blocks:
         return []
-    f = np.append(freqs, 1 << BITS).astype(np.uint64)  # the last one fills up: it changes no state
+    bits = _bits(freqs)
+    scale, most = np.uint64(bits), np.uint64(31 - bits + 32)
+    f = np.append(freqs, 1 << bits).astype(np.uint64)  # the last one fills up: it changes no state
     c = np.append(np.cumsum(freqs) - freqs, 0).astype(np.uint64)
     steps = max(1, -(-max(map(len, blocks)) // LANES))
     ids = np.full((len(blocks), steps * LANES), len(freqs), np.int64)
@@ -78,11 +88,11 @@ def encode_blocks(freqs: np.ndarray, blocks: list[np.ndarray]) -> list[tuple[byt
     marks = {}
     for s in range(steps - 1, -1, -1):
         freq, base = f[ids[:, s]], c[ids[:, s]]
-        full = state >= freq << np.uint64(31 - BITS + 32)
+        full = state >= freq << most
         wrote[s], words[s] = full, state  # the low 32 bits
         state = np.where(full, state >> _WORD, state)
         div = state // freq
-        state = (div << _SCALE) + (state - div * freq) + base
+        state = (div << scale) + (state - div * freq) + base
         if s % STRIDE == 0:
             marks[s] = state
     wrote, words = wrote.transpose(1, 0, 2), words.transpose(1, 0, 2)
@@ -99,38 +109,41 @@ def encode_blocks(freqs: np.ndarray, blocks: list[np.ndarray]) -> list[tuple[byt
     return out
 
 
-def decode_stretch(freqs: np.ndarray, symbols: np.ndarray, payload: bytes, checkpoints: bytes, sums: list[int], n: int, k: int) -> np.ndarray:
-    """The ids from checkpoint k up to the next. symbols: the id of each of the 2**BITS slots."""
-    size = 4 + 8 * LANES
-    mark = checkpoints[k * size : (k + 1) * size]
-    place, state = int.from_bytes(mark[:4], "little"), np.frombuffer(mark, "<u8", offset=4).copy()
-    last = (k + 1) * size >= len(checkpoints)
-    end = len(payload) // 4 if last else int.from_bytes(checkpoints[(k + 1) * size : (k + 1) * size + 4], "little")
-    if zlib.crc32(payload[4 * place : 4 * end]) != sums[k]:
-        raise ValueError(f"checksum of stretch {k} differs")
-    words = np.frombuffer(payload, "<u4")
-    f, c = freqs.astype(np.uint64), (np.cumsum(freqs) - freqs).astype(np.uint64)
-    first = k * STRIDE * LANES
-    todo = min(STRIDE * LANES, n - first)
-    out = np.empty(todo, np.int64)
-    for at in range(0, todo, LANES):
-        m = min(LANES, todo - at)
-        slot = state[:m] & np.uint64((1 << BITS) - 1)
+def decode_stretches(freqs: np.ndarray, symbols: np.ndarray, payload: bytes, checkpoints: bytes, sums: list[int], n: int, some: range | list[int]) -> np.ndarray:
+    """The ids from each of some checkpoints up to the next, all stretches at the same time, one after the other in
+    the result. symbols: the id of each slot."""
+    size, count = 4 + 8 * LANES, len(sums)
+    marks = np.frombuffer(checkpoints, np.uint8).reshape(count, size)
+    places = np.append(marks[:, :4].copy().view("<u4")[:, 0].astype(np.int64), len(payload) // 4)
+    for k in some:
+        if zlib.crc32(payload[4 * places[k] : 4 * places[k + 1]]) != sums[k]:
+            raise ValueError(f"checksum of stretch {k} differs")
+    some = np.asarray(some, np.int64)
+    place, state = places[some], marks[some, 4:].copy().view("<u8").astype(np.uint64)
+    words = np.append(np.frombuffer(payload, "<u4"), 0).astype(np.uint64)
+    f, c, bits = freqs.astype(np.uint64), (np.cumsum(freqs) - freqs).astype(np.uint64), _bits(freqs)
+    scale, mask = np.uint64(bits), np.uint64((1 << bits) - 1)
+    todo = np.minimum(STRIDE * LANES, n - some * STRIDE * LANES)
+    out = np.zeros((len(some), -(-int(todo.max(initial=0)) // LANES), LANES), np.int64)
+    lane = np.arange(LANES)
+    for step in range(out.shape[1]):
+        on = step * LANES + lane < todo[:, None]
+        slot = state & mask
         ids = symbols[slot.astype(np.int64)]
-        out[at : at + m] = ids
-        x = f[ids] * (state[:m] >> _SCALE) + slot - c[ids]
-        low = np.flatnonzero(x < _LOW)
-        x[low] = (x[low] << _WORD) | words[place : place + len(low)].astype(np.uint64)
-        place += len(low)
-        state[:m] = x
-    if place != end or last and (state != _LOW).any():
-        raise ValueError(f"stretch {k} doesn't end where it should")
-    return out
+        out[:, step] = ids
+        x = f[ids] * (state >> scale) + slot - c[ids]
+        low = on & (x < _LOW)
+        at = np.cumsum(low, axis=1)
+        x = np.where(low, (x << _WORD) | words[np.minimum(place[:, None] + at - 1, len(words) - 1)], x)
+        place += at[:, -1]
+        state = np.where(on, x, state)
+    if (place != places[some + 1]).any() or (state[some == count - 1] != _LOW).any():
+        raise ValueError("a stretch doesn't end where it should")
+    return np.concatenate([np.zeros(0, np.int64), *(row.ravel()[:m] for row, m in zip(out, todo.tolist()))])
 
 
 def decode_block(freqs: np.ndarray, symbols: np.ndarray, payload: bytes, checkpoints: bytes, sums: list[int], n: int, checksum: int) -> np.ndarray:
-    parts = [decode_stretch(freqs, symbols, payload, checkpoints, sums, n, k) for k in range(len(sums))] if n else []
-    ids = np.concatenate([np.zeros(0, np.int64), *parts])
+    ids = decode_stretches(freqs, symbols, payload, checkpoints, sums, n, range(len(sums))) if n else np.zeros(0, np.int64)
     if zlib.crc32(ids.astype("<u4").tobytes()) != checksum:
         raise ValueError("the checksum of the ids differs")
     return ids
@@ -142,7 +155,8 @@ def slots(freqs: np.ndarray) -> np.ndarray:
 
 def tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_ids, lengths, ids): the ids of some thousand documents a row, packed; length null for a null text."""
-    df = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    df = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = dict(df.dtypes)["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
@@ -154,7 +168,7 @@ def tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part.column("doc_id"), lengths)]
                 yield pa.RecordBatch.from_pydict({"doc_ids": lists[0], "lengths": lists[1], "ids": pa.array([pack(ids)], pa.binary())})
 
-    return in_batches(df, work, "doc_ids array<bigint>, lengths array<bigint>, ids binary")
+    return in_batches(df, work, f"doc_ids array<{kind}>, lengths array<bigint>, ids binary")
 
 
 def frequencies(coded: DataFrame) -> np.ndarray:
@@ -199,10 +213,11 @@ def _blocks(freqs: np.ndarray, held: list[tuple], flush: bool) -> tuple[list[dic
     return rows, group
 
 
-_ARROW = pa.schema([
-    ("kind", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_tokens", pa.int64()),
-    ("payload", pa.binary()), ("checkpoints", pa.binary()), ("checksums", pa.list_(pa.int64())), ("checksum", pa.int64()),
-])
+def _arrow(doc_ids: pa.DataType) -> pa.Schema:
+    return pa.schema([
+        ("kind", pa.string()), ("doc_ids", pa.list_(doc_ids)), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_tokens", pa.int64()),
+        ("payload", pa.binary()), ("checkpoints", pa.binary()), ("checksums", pa.list_(pa.int64())), ("checksum", pa.int64()),
+    ])
 
 
 def token_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -213,40 +228,46 @@ def token_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        kind = pa.int64()
         for batch in batches:
+            kind = batch.column("doc_ids").type.value_type
             for docs, lengths, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "lengths", "ids"))):
                 ids = unpack(raw)
                 ends = np.cumsum([n or 0 for n in lengths])
                 held += [(d, 0, n, ids[e - (n or 0) : e]) for d, n, e in zip(docs, lengths, ends.tolist())]
                 rows, held = _blocks(shared.value, held, False)
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    yield pa.RecordBatch.from_pylist(rows, _arrow(kind))
         rows, _ = _blocks(shared.value, held, True)
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            yield pa.RecordBatch.from_pylist(rows, _arrow(kind))
 
     head = [("table", None, None, None, int((freqs > 0).sum()), zlib.compress(freqs.astype("<u4").tobytes()), None, None, zlib.crc32(freqs.astype("<u4").tobytes()))]
-    return spark.createDataFrame(head, SCHEMA).union(in_batches(coded, work, SCHEMA))
+    kind = schema(dict(coded.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">"))
+    return spark.createDataFrame(head, kind).union(in_batches(coded, work, kind))
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:
-    """(doc_id, start, token_ids): every piece of every block, decoded and checked; token_ids null for a null text."""
+    """(doc_id, start, token_ids): every piece of every block, decoded and checked; token_ids null for a null text.
+    Blocks are decoded by many tasks, and in each the stretches between checkpoints side by side."""
     row = blocks.where("kind = 'table'").first()
     freqs = np.frombuffer(zlib.decompress(bytes(row.payload)), "<u4").astype(np.int64)
     if zlib.crc32(freqs.astype("<u4").tobytes()) != row.checksum:
         raise ValueError("the checksum of the frequency table differs")
     shared = reachable(blocks.sparkSession).sparkContext.broadcast(freqs)
+    kind = dict(blocks.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = slots(shared.value)
         for batch in batches:
+            ids_type = batch.schema.field("doc_ids").type.value_type
             for b in batch.to_pylist():
                 ids = decode_block(shared.value, of, b["payload"], b["checkpoints"], b["checksums"], b["n_tokens"], b["checksum"])
                 ends = np.cumsum([n or 0 for n in b["lengths"]])
                 lists = [None if n is None else ids[e - n : e].tolist() for n, e in zip(b["lengths"], ends.tolist())]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(b["doc_ids"], pa.int64()), "start": pa.array(b["starts"], pa.int64()), "token_ids": pa.array(lists, pa.list_(pa.int32()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(b["doc_ids"], ids_type), "start": pa.array(b["starts"], pa.int64()), "token_ids": pa.array(lists, pa.list_(pa.int32()))})
 
-    return in_batches(blocks.where("kind = 'block'"), work, "doc_id bigint, start bigint, token_ids array<int>")
+    return in_batches(blocks.where("kind = 'block'"), work, f"doc_id {kind}, start bigint, token_ids array<int>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

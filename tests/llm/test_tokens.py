@@ -123,7 +123,9 @@ def test_blocks_round_trip(sizes):
         assert token_store.decode_block(freqs, of, payload, marks, sums, len(block), crc).tolist() == block.tolist()
         if len(block) > 3 * token_store.STRIDE * token_store.LANES:  # from a checkpoint in the middle
             k, step = 2, token_store.STRIDE * token_store.LANES
-            assert token_store.decode_stretch(freqs, of, payload, marks, sums, len(block), k).tolist() == block[k * step : (k + 1) * step].tolist()
+            assert token_store.decode_stretches(freqs, of, payload, marks, sums, len(block), [k]).tolist() == block[k * step : (k + 1) * step].tolist()
+            some = [len(sums) - 1, 0]
+            assert token_store.decode_stretches(freqs, of, payload, marks, sums, len(block), some).tolist() == [*block[some[0] * step :].tolist(), *block[:step].tolist()]
             with pytest.raises(ValueError, match="checksum"):
                 token_store.decode_block(freqs, of, b"\0" * 8 + payload[8:], marks, sums, len(block), crc)
             entropy = -(np.log2(counts[block] / counts.sum())).sum() / 8
@@ -145,3 +147,50 @@ def test_token_blocks_round_trip(spark, docs, odd, none):
     pieces = token_store.read_blocks(token_store.token_blocks(odd)).collect()
     assert sorted((str(r.doc_id), str(r.token_ids)) for r in pieces if r.doc_id not in (5, 6)) == sorted((str(r.doc_id), str(r.token_ids)) for r in bpe.encode(odd).collect() if r.doc_id not in (5, 6))
     assert [r.kind for r in token_store.token_blocks(none).collect()] == ["table"]
+
+
+def test_token_blocks_query_against_the_library(spark, docs):
+    want = reference()
+    got = rebuilt(token_store.read_blocks(token_store.query(spark, "/root/testdata/sf0.001")).collect())
+    assert {k: sum(map(list, v), []) for k, v in got.items()} == {r.doc_id: want.encode_ordinary(r.text) for r in docs.collect()}
+
+
+def one_lane_at_a_time(freqs, payload, checkpoints, n):
+    """The decoder as the textbook has it: a number at a time, from the first checkpoint."""
+    total, starts = int(freqs.sum()), (np.cumsum(freqs) - freqs).tolist()
+    states = [int.from_bytes(checkpoints[4 + 8 * k : 12 + 8 * k], "little") for k in range(token_store.LANES)]
+    words, at, out = [int.from_bytes(payload[i : i + 4], "little") for i in range(0, len(payload), 4)], 0, []
+    for i in range(n):
+        k = i % token_store.LANES
+        slot = states[k] % total
+        symbol = max(j for j in range(len(freqs)) if freqs[j] and starts[j] <= slot)
+        states[k] = int(freqs[symbol]) * (states[k] // total) + slot - starts[symbol]
+        if states[k] < 1 << 31:
+            states[k], at = states[k] << 32 | words[at], at + 1
+        out.append(symbol)
+    return out
+
+
+def test_blocks_against_brute_force():
+    rng = np.random.default_rng(8)
+    block = np.minimum(rng.zipf(1.5, 1500) - 1, 40)
+    freqs = token_store.scaled(np.bincount(block))
+    payload, marks, _, _ = token_store.encode_blocks(freqs, [block])[0]
+    assert one_lane_at_a_time(freqs, payload, marks, len(block)) == block.tolist()
+
+
+def test_more_ids_than_slots():
+    counts = np.ones((1 << token_store.BITS) + 5, np.int64)
+    freqs = token_store.scaled(counts)
+    assert freqs.min() >= 1 and freqs.sum() == 1 << (token_store.BITS + 1)
+    block = np.array([0, len(counts) - 1, 7] * 50)
+    payload, marks, sums, crc = token_store.encode_blocks(freqs, [block])[0]
+    assert token_store.decode_block(freqs, token_store.slots(freqs), payload, marks, sums, len(block), crc).tolist() == block.tolist()
+
+
+def test_string_ids_and_clashing_names(spark):
+    df = spark.createDataFrame([("a", "one two", 1, 2), (None, None, 3, 4), ("c", "", 5, 6)], "doc_id string, text string, ids int, doc_ids int")
+    got = {r.doc_id: r.token_ids for r in token_store.read_blocks(token_store.token_blocks(df)).collect()}
+    assert {k: None if v is None else list(v) for k, v in got.items()} == {"a": reference().encode_ordinary("one two"), None: None, "c": []}
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df).collect()} == {"a": 2, None: None, "c": 0}
+    assert {r.doc_id for r in bpe.encode(df).collect()} == {"a", None, "c"}
