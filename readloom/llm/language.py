@@ -13,8 +13,9 @@ a hash of id and text; n-grams that occur in ``MIN_SHARE_OF_DOCS`` of them (two
 
 ``keep`` is false for documents without a letter, and for those with ``MIN_GRAMS`` n-grams or more of which
 less than ``MIN_SHARE`` belong to the language that decides; shorter ones say too little to reject them.
-Defined results: a null text is like an empty one: no language, score 0, not kept; a tie goes to the language
-that is first by name; languages with a null label are not learnt; without any labelled document nothing is
+Defined results: a null text is like an empty one: no language, score 0, not kept; a text's score doesn't hang on
+the texts next to it; a tie goes to the language that is first by name; ids may be of any type; further columns,
+whatever their names, are dropped by ``identify`` and returned untouched by ``filter_language``; languages with a null label are not learnt; without any labelled document nothing is
 known and only documents too short to judge are kept; ids, nulls in other columns and repeated rows pass through.
 """
 
@@ -52,7 +53,7 @@ def _letters() -> np.ndarray:
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each character n-gram, n-grams before each row's end with a leading 0). Only n-grams whose inner
     characters are letters; what is no letter counts as a space."""
-    codes = np.frombuffer("".join(((t or "").replace("\0", " ").lower() + "\0") for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer("".join(("\0", *((t or "").replace("\0", " ").lower() + "\0" for t in texts))).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.flatnonzero(codes == 0)
     letter = _letters()[codes]
     codes = np.where(letter, codes, np.uint32(32)).astype(np.uint64)
@@ -67,8 +68,8 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if 1 < i < N - 1:
             inner &= letter[i : i + m]
     inner &= letter[:m] | letter[N - 1 : N - 1 + m]
-    at = np.flatnonzero(inner)  # an n-gram with its inner characters in one row may end in the separator, as in a space
-    return mix(total[at]), np.concatenate([[0], np.searchsorted(at, ends)])
+    at = np.flatnonzero(inner)  # an n-gram may begin or end in the separator next to its row, as in a space
+    return mix(total[at]), np.searchsorted(at, ends)
 
 
 def _slots(hashes: np.ndarray) -> list[np.ndarray]:
