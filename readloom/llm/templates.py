@@ -1,8 +1,11 @@
-"""Licence templates, already normalised: words in lower case, without signs. Notices of one line as they are
-put into documents, and the bodies of the short licences. Variants share a name before ``/``."""
+"""Licence templates; of their texts only the words count. Notices of one line as they are
+put into documents, the bodies of the short licences, and the whole texts of the long ones (the files in
+``licence_texts``). Variants share a name before ``/``."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 _AS_IS = (
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties "
     "including but not limited to the implied warranties of merchantability and fitness for a particular purpose are "
@@ -93,3 +96,5 @@ TEMPLATES: dict[str, str] = {
     ),
     "proprietary/notice": "all rights reserved",
 }
+
+TEMPLATES |= {f"{p.stem}/text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}

@@ -3,9 +3,11 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from readloom.llm import language, licences, line_dedup, quality
+from readloom.llm.grams import WORD
 from readloom.llm.templates import TEMPLATES
 
 
@@ -107,6 +109,43 @@ def test_language_masks_and_correction():
     assert hits[0, 1] == pytest.approx(n[0], rel=0.01) and hits[0, 0] < n[0] / 2
 
 
+def brute_language(sets: dict[str, set], fps: dict[str, float], text: str) -> tuple[str | None, float]:
+    """Sets of n-grams in place of filters; the corrected count of each language, the best one first by name."""
+    codes = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    windows = [codes[i : i + language.N] for i in range(len(codes) - language.N + 1)]
+    found = [g for g in windows if g[1:-1].isalpha() and (g[0] != " " or g[-1] != " ")]
+    n = len(found)
+    scores = {k: max(0.0, (sum(g in s for g in found) - n * fps[k]) / (1 - fps[k])) for k, s in sets.items()}
+    top = max(scores.values(), default=0)
+    return (min(k for k, v in scores.items() if v == top) if top > 0 else None), top / max(n, 1)
+
+
+def test_language_query_equals_brute_force(spark):
+    """The query over a whole table against sets of n-grams counted one by one, fitted on the same sample."""
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = documents.collect()
+    filters = language.fit(documents)  # fewer documents than the bound: all are learnt
+    sets = {}
+    for name in filters.languages:
+        mine, seen = [r.text for r in rows if r.lang == name], Counter()
+        for text in mine:
+            codes = "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+            seen.update({g for i in range(len(codes) - 3) if (g := codes[i : i + 4])[1:-1].isalpha() and (g[0] != " " or g[-1] != " ")})
+        sets[name] = {g for g, n in seen.items() if n >= max(min(2, len(mine)), language.MIN_SHARE_OF_DOCS * len(mine))}
+    fps = dict(zip(filters.languages, filters.false_positive))
+    got = {r.doc_id: (r.predicted, r.score) for r in language.query(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == {r.doc_id for r in rows}
+    for r in rows:
+        name, score = brute_language(sets, fps, r.text)
+        assert got[r.doc_id][0] == name and got[r.doc_id][1] == pytest.approx(score, abs=0.02), r.doc_id
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    rows = [(i, "the same words in either tongue", lang) for i, lang in enumerate(["b", "a"] * 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.predicted for r in language.identify(df, language.fit(df)).collect()} == {"a"}
+
+
 def test_language_odd_rows(odd, none):
     filters = language.fit(odd)
     got = {(r.doc_id, r.predicted, r.keep) for r in language.identify(odd, filters).collect()}
@@ -142,31 +181,82 @@ def test_language_bound_holds_without_ids(spark, monkeypatch):
     assert len(seen) == 3 and all(50 < n < 150 for n in seen)
 
 
+def bigrams(text: str) -> Counter:
+    return Counter(zip(text.split(), text.split()[1:]))
+
+
 def brute_dice(a: str, b: str) -> float:
-    grams = lambda t: Counter(zip(t.split(), t.split()[1:]))
-    x, y = grams(a), grams(b)
+    x, y = bigrams(a), bigrams(b)
     return 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values()))
 
 
 def normal(line: str) -> str:
-    return " ".join("".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in line.lower()).split())
+    return " ".join(regex.findall(WORD, line.lower()))
 
 
 def test_licences_equal_brute_force(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bags = {n: bigrams(normal(t)) for n, t in TEMPLATES.items()}
     want = {}
     for r in documents.collect():
         for i, line in enumerate(r.text.split("\n"), 1):
-            text = normal(line)
-            if len(text.split()) < 2:
+            own = bigrams(normal(line))
+            size = sum(own.values())
+            if not size:
                 continue
-            dice, name = max(((brute_dice(text, t), n) for n, t in TEMPLATES.items()), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
-            if dice >= licences.THRESHOLD and dice > want.get((r.doc_id, name), (0,))[0]:
-                want[r.doc_id, name] = (dice, i)
+            dice = lambda bag, total: 2 * sum((own & bag).values()) / (size + total) if size > total / 2 else 0  # noqa: B023, E731
+            found, name = max(((dice(bag, sum(bag.values())), n) for n, bag in bags.items()), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+            if found >= licences.THRESHOLD and found > want.get((r.doc_id, name), (0,))[0]:
+                want[r.doc_id, name] = (found, i)
     got = {(r.doc_id, r.licence): (r.dice, r.line) for r in licences.licence_scan(documents).collect()}
     assert got == want and len(got) > 10
 
 
+def test_whole_texts_of_licences(spark):
+    """Each whole text is found, also with some words changed and next to another, and alone."""
+    texts = {n: t for n, t in TEMPLATES.items() if n.endswith("/text")}
+    assert len(texts) >= 8
+    pick, rows, want = random.Random(1), [], set()
+    for i, (name, text) in enumerate(texts.items()):
+        words = ["other" if w.isalpha() and pick.random() < 0.02 else w for w in text.split(" ")]
+        rows.append((i, "Copyright 2020 by me\n\n" + " ".join(words) + "\n\nThis is the readme of my project."))
+        want.add((i, name))
+    names = list(texts)
+    rows.append((100, f"{texts[names[0]]}\n\n{TEMPLATES['mit/body']}\n\n{texts['mpl-2.0/text']}"))
+    want |= {(100, names[0]), (100, "mit/body"), (100, "mpl-2.0/text")}
+    got = {(r.doc_id, r.licence) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert want <= got and {x for x in got if x[1].endswith("/text")} <= want
+
+
+def test_licence_blocks_equal_brute_force():
+    """Wrapped bodies with words left out, alone and next to each other: the best Dice of all ranges of words."""
+    pick, names = random.Random(3), ["isc/body", "apache-2.0/notice", "mit/notice"]
+    items = tuple((n, normal(TEMPLATES[n])) for n in sorted(names))
+    texts = []
+    for k in range(12):
+        parts = [" ".join(w for w in normal(TEMPLATES[n]).split() if pick.random() > 0.03 * (k % 3)) for n in pick.sample(names, 1 + k % 2)]
+        wrapped = ["\n".join(" ".join(p.split()[i : i + 7]) for i in range(0, len(p.split()), 7)) for p in parts]
+        texts.append("\n\n".join(["some words before it", *wrapped, "and after"][k % 2 :]))
+    want = {}
+    for row, text in enumerate(texts):
+        words = normal(text).split()
+        for name, template in items:
+            bag, best = bigrams(template), 0.0
+            total = sum(bag.values())
+            for a in range(len(words)):
+                left, common = Counter(bag), 0
+                for z in range(a + 1, min(len(words), a + 2 * total + 2)):
+                    gram = words[z - 1], words[z]
+                    if left[gram] > 0:
+                        left[gram] -= 1
+                        common += 1
+                    best = max(best, 2 * common / (z - a + total))
+            if best >= licences.THRESHOLD:
+                want[row, name] = best
+    got = {(row, name): dice for row, name, dice, _ in licences.matches(pa.array(texts), items, licences.THRESHOLD)}
+    assert got == pytest.approx(want) and len(want) >= 12
+
+
 def test_licences_over_many_lines(spark):
     body = TEMPLATES["mit/body"].split()
     wrapped = "\n".join(" ".join(body[i : i + 11]) for i in range(0, len(body), 11))
