@@ -21,14 +21,16 @@ import heapq
 import os
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import in_batches, ranges, slices, table, utf8
+from readloom.llm.common import in_batches, ranges, reachable, slices, table, utf8
 from readloom.llm.grams import byte_hashes, byte_kinds, code_kinds, loads
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -132,10 +134,11 @@ def _grown(x: np.ndarray, to: int, fill: int = 0) -> np.ndarray:
 
 
 class Vocabulary:
-    def __init__(self, path: str, pattern: str = PATTERN):
+    """raw: the lines of the vocabulary's file, each a token in base64 and its rank."""
+
+    def __init__(self, raw: bytes, pattern: str = PATTERN):
         self.seed = int.from_bytes(os.urandom(8), "little")
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         self.size = max(self.ranks.values()) + 1
         self.single = np.array([self.ranks.get(bytes([b]), 0) for b in range(256)], np.int64)
         pairs = []
@@ -349,8 +352,18 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=4)
+def vocabulary_of(raw: bytes, pattern: str = PATTERN) -> Vocabulary:
+    """One to a worker, with the words that it has met."""
+    return Vocabulary(raw, pattern)
+
+
 def vocabulary(path: str = VOCABULARY, pattern: str = PATTERN) -> Vocabulary:
-    return Vocabulary(path, pattern)
+    return vocabulary_of(Path(path).read_bytes(), pattern)
+
+
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The vocabulary's file (a MB or so), read by the driver and sent to the executors."""
+    return reachable(spark).sparkContext.broadcast(Path(path).read_bytes())
 
 
 def _offsets(counts: np.ndarray, null: np.ndarray, kind: str) -> pa.Array:
@@ -370,10 +383,10 @@ def strings(data: np.ndarray, sizes: np.ndarray, null: np.ndarray) -> pa.Array:
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, pattern: str = PATTERN, decoded: bool = False) -> DataFrame:
     """doc_id, token_ids and, if asked for, what they decode to."""
     df = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(df.dtypes)["doc_id"]
+    kind, shared = dict(df.dtypes)["doc_id"], shipped(df.sparkSession, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, pattern)
+        v = vocabulary_of(shared.value, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text")
@@ -391,10 +404,10 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", pa
     """doc_id and the text of its token ids; bytes that are no UTF-8 become U+FFFD, an id that the vocabulary
     lacks, or a null one, raises."""
     df = df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    kind = dict(df.dtypes)["doc_id"]
+    kind, shared = dict(df.dtypes)["doc_id"], shipped(df.sparkSession, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary_of(shared.value)
         for batch in batches:
             lists = batch.column("ids")
             null = np.asarray(lists.is_null())

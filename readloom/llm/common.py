@@ -8,6 +8,7 @@ import inspect
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,30 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[context.applicationId]
 
 
+#: What has been stored in each open ``scratch``.
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that are stored inside are removed at the end; but those given to what this yields."""
+    own: list[DataFrame] = []
+    _SCRATCH.append(own)
+    kept: list[DataFrame] = []
+
+    def keep(one: DataFrame) -> DataFrame:
+        kept.append(one)
+        return one
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+        discard(*(x for x in own if not any(x is k for k in kept)))
+        if _SCRATCH:
+            _SCRATCH[-1].extend(kept)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and the loss of an
     executor costs only a re-read. The table is removed by ``discard``, or when the driver's interpreter ends."""
@@ -56,6 +81,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     atexit.register(remove)
     out = spark.read.schema(df.schema).parquet(path)
     out._discard = remove
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
@@ -64,6 +91,8 @@ def discard(*tables: DataFrame) -> None:
     for one in tables:
         one._discard()
         atexit.unregister(one._discard)
+        for held in _SCRATCH:
+            held[:] = [x for x in held if x is not one]
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -28,7 +28,7 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import fresh, stored, table
+from readloom.llm.common import fresh, scratch, stored, table
 
 #: A line on more than this share of a host's pages is boilerplate,
 RATIO = 0.08
@@ -73,7 +73,9 @@ def _cleaned(df: DataFrame, ratio: float, least: int, host_col: str | Column, te
     """The input with two more columns, the text that is left and the lines dropped, and their names."""
     seed = secrets.randbits(62)
     at, held, drops, text, dropped = (fresh(df, k) for k in ("host_found", "lines_found", "lines_dropped", "text_left", "n_dropped"))
-    found = stored(boilerplate(df, ratio, least, host_col, text_col, seed), "boilerplate").select(F.col("host").alias(at), F.col("lines").alias(held))
+    with scratch() as keep:
+        found = keep(stored(boilerplate(df, ratio, least, host_col, text_col, seed), "boilerplate"))
+    found = found.select(F.col("host").alias(at), F.col("lines").alias(held))
     size = found.agg(F.sum(F.size(held) * 8 + F.length(at) + 64)).first()[0] or 0
     found = F.broadcast(found) if size <= broadcast_bytes else found.hint("shuffle_hash")
     joined = df.join(found, (F.col(host_col) if isinstance(host_col, str) else host_col) == F.col(at), "left")

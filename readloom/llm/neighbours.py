@@ -12,8 +12,8 @@ A query is held against the vectors of its nearest cells only. How many is measu
 queries is compared exactly with all vectors, and as many cells are searched as hold a share ``RECALL`` of their
 true neighbours. Where vectors have cluster structure that is a few cells, and the work grows in proportion to the
 vectors; where they have none, the measure asks for a large share of the cells, and the work grows with the square:
-recall is kept, not speed. Cells hold about ``CELL`` vectors, up to ``CENTRES`` cells (a few MB, broadcast); beyond,
-cells grow.
+recall is kept, not speed. Cells hold about ``CELL`` vectors, up to ``CENTRES`` cells and ``CENTRE_BYTES`` of centroids, which are
+broadcast; beyond, cells grow.
 
 Cells are gathered into blocks of about ``BLOCK`` vectors, a task each; a query is sent once to each block that has
 cells of its own, and a block with many queries is searched by several tasks. Nothing but counts by cell and block,
@@ -42,6 +42,7 @@ from readloom.llm.common import discard, in_batches, in_groups, numbered, reacha
 K = 10
 CELL = 256
 CENTRES = 1 << 16
+CENTRE_BYTES = 32 << 20
 BLOCK = 4096
 #: Queries of a block that one task answers.
 QUERIES = 1 << 16
@@ -268,7 +269,7 @@ def nearest(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "e
     rows = stored(rows, "vectors")
     total = rows.count()
     turn = rotation(dim)
-    wanted = max(1, min(CENTRES, total // cell))
+    wanted = max(1, min(CENTRES, CENTRE_BYTES // (4 * dim), total // cell))
     sample = [r[0] for r in _by_hash(rows, wanted * 32 / total, 1).orderBy("doc_id").select("v").collect()] or [rows.first()[1]]
     centres = k_means(unit(np.array(sample)), wanted)
     # neighbouring cells get neighbouring numbers, so that blocks are compact

@@ -18,17 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.bpe import PATTERN, VOCABULARY, vocabulary
+from readloom.llm.bpe import PATTERN, VOCABULARY, shipped, vocabulary_of
 from readloom.llm.common import in_batches, slices, table
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """doc_id and n_tokens."""
     df = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(df.dtypes)["doc_id"]
+    kind, shared = dict(df.dtypes)["doc_id"], shipped(df.sparkSession, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, pattern)
+        v = vocabulary_of(shared.value, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text")

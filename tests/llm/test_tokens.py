@@ -36,7 +36,7 @@ def test_encode_equals_the_library(path):
 
 def test_another_pattern_and_forgetting(monkeypatch):
     pattern = r"\p{L}+|[^\p{L}]"
-    v = bpe.Vocabulary(bpe.VOCABULARY, pattern)
+    v = bpe.Vocabulary(open(bpe.VOCABULARY, "rb").read(), pattern)
     monkeypatch.setattr(bpe, "KEPT", 50)
     want = reference(pattern=pattern)
     for k in range(5):
@@ -47,7 +47,7 @@ def test_another_pattern_and_forgetting(monkeypatch):
 def test_words_with_one_hash(monkeypatch):
     real = bpe.byte_hashes
     monkeypatch.setattr(bpe, "byte_hashes", lambda *a, **k: real(*a, **k) & np.uint64(255))
-    v = bpe.Vocabulary(bpe.VOCABULARY)
+    v = bpe.Vocabulary(open(bpe.VOCABULARY, "rb").read())
     random.seed(5)
     texts = [" ".join("".join(random.choices("abcdefghij", k=random.randint(1, 30))) for _ in range(9)) for _ in range(100)]
     want = [reference().encode_ordinary(t) for t in texts]
