@@ -63,8 +63,9 @@ def extra_bases(s: str = "s") -> Column:
 
 
 def demultiplex(reads: DataFrame, bc: Barcodes, way: str = "auto", max_ed: int | None = None) -> DataFrame:
-    """Adds the matches s, a, b, c, d (and p), and the flags any_invalid and any_unclear. The stagger is matched
-    first: it moves A and C. way: see ``match``; 'inline' has no join and no state, for streams."""
+    """Adds the matches s, a, b, c, d (and p), and the flags any_invalid and any_unclear (in place of columns with
+    these names). The stagger is matched first: it moves A and C. way: see ``match``; 'inline' has no join and no
+    state."""
     out = match(reads, *segments(bc, F.lit(0))["s"], bc.stagger, "s", way=way, max_ed=max_ed)
     parts = segments(bc, extra_bases())
     lengths = tuple(range(bc.a.min_length, bc.a.min_length + len(bc.stagger.entries)))
@@ -113,6 +114,29 @@ def second_output(matched: DataFrame, bc: Barcodes) -> DataFrame:
     )
 
 
+#: Records of a chunk, as a power of two: a chunk is matched and written by one task.
+CHUNK_BITS = 16
+
+
+def spread(reads: DataFrame, partitions: int | None = None, bits: int = CHUNK_BITS) -> DataFrame:
+    """The reads with a column chunk, 2**bits neighbouring records to a chunk, whole chunks dealt to partitions in
+    turn: the one exchange between reading and writing, whatever wrote or split the input, and needing no counts."""
+    partitions = partitions or int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk = F.shiftright("idx", bits)
+    return reads.withColumn("chunk", chunk).repartitionById(partitions, F.pmod(F.col("chunk"), F.lit(partitions)).cast("int"))
+
+
+def both_outputs(matched: DataFrame, bc: Barcodes, which: tuple[str, ...] = ("R1", "R2")) -> DataFrame:
+    """(chunk, idx, output, value): for each read the lines of its outputs, from one match and one header."""
+    clip, head = clip_size(bc), matched.select("*", header(bool(bc.plate)).alias("header"))
+    lines = {
+        "R1": F.concat_ws("\n", "header", "r1.seq", "r1.plus", "r1.qual"),
+        "R2": F.concat_ws("\n", F.col("header"), max_substr(F.col("r4.seq"), clip), F.col("r4.plus"), max_substr(F.col("r4.qual"), clip)),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("output"), lines[k].alias("value")) for k in which)))
+    return head.select("chunk", "idx", each.alias("o")).select("chunk", "idx", "o.output", "o.value")
+
+
 def barcode_stats(bc: Barcodes) -> list[tuple[str, int, int, int]]:
     """(set, entries, least and greatest code length)."""
     return [(k, len(s.entries), s.min_length, s.max_length) for k, s in sorted(bc.sets().items())]

@@ -15,7 +15,7 @@ Three ways with the same result:
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +32,16 @@ LONGEST = 8
 _KIND = "struct<ord:int,ed:int,ties:int>"
 
 
-def _few(segment: Column, codes: list[str]) -> Column:
-    each = [F.levenshtein(segment, F.lit(c)) for c in codes]
-    low = F.least(*each) if len(each) > 1 else each[0]
-    ties = reduce(lambda a, b: a + b, [F.when(e == low, 1).otherwise(0) for e in each])
-    first = reduce(lambda rest, ie: F.when(ie[1] == low, F.lit(ie[0])).otherwise(rest), reversed(list(enumerate(each, 1))), F.lit(0))
-    return F.struct(first.alias("ord"), low.alias("ed"), ties.alias("ties"))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _few(segment: str, codes: list[str]) -> str:
+    each = [f"levenshtein({segment}, {_quoted(c)})" for c in codes]
+    low = f"least({', '.join(each)})" if len(each) > 1 else each[0]
+    ties = " + ".join(f"if({e} = {low}, 1, 0)" for e in each)
+    first = " ".join(f"when {e} = {low} then {i}" for i, e in enumerate(each, 1))
+    return f"named_struct('ord', case {first} else 0 end, 'ed', {low}, 'ties', {ties})"
 
 
 def _listed(values: list[str]) -> Column:
@@ -45,22 +49,19 @@ def _listed(values: list[str]) -> Column:
     return F.split(F.lit(" ".join(values)), " ")
 
 
-def _many(segment: Column, codes: list[str]) -> Column:
+def _many(segment: str, codes: list[str]) -> str:
     """One pass over the codes that keeps the least distance, where it was first, and how often."""
-    start = F.struct(F.lit(0).alias("ord"), F.lit(1_000_000).alias("ed"), F.lit(0).alias("ties")).cast(_KIND)
-
-    def step(best: Column, i: Column) -> Column:
-        ed = F.levenshtein(segment, F.element_at(_listed(codes), i))
-        better = F.struct(i.alias("ord"), ed.alias("ed"), F.lit(1).alias("ties")).cast(_KIND)
-        same = F.struct(best["ord"].alias("ord"), best["ed"].alias("ed"), (best["ties"] + 1).alias("ties")).cast(_KIND)
-        return F.when(ed < best["ed"], better).when(ed == best["ed"], same).otherwise(best)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(codes))), start, step)
+    listed = f"split({_quoted(' '.join(codes))}, ' ')"
+    found = f"transform({listed}, c -> levenshtein({segment}, c))"
+    step = """case when e.ed < best.ed then named_struct('ord', e.ord + 1, 'ed', e.ed, 'ties', 1)
+        when e.ed = best.ed then named_struct('ord', best.ord, 'ed', best.ed, 'ties', best.ties + 1) else best end"""
+    return f"aggregate(transform({found}, (ed, ord) -> named_struct('ord', ord, 'ed', ed)), named_struct('ord', 0, 'ed', 1000000, 'ties', 0), (best, e) -> {step})"
 
 
-def best(segment: Column, codes: list[str]) -> Column:
-    """struct(ord, ed, ties): the first nearest code (from 1), its distance, and how many are as near."""
-    return (_few if len(codes) <= FEW else _many)(segment, codes)
+def best(segment: str, codes: list[str]) -> Column:
+    """struct(ord, ed, ties): the first nearest code (from 1), its distance, and how many are as near. segment: the
+    name of a column, or SQL; as text, an expression over all codes is handed over at once."""
+    return F.expr((_few if len(codes) <= FEW else _many)(segment, codes))
 
 
 def verdict(segment: Column, required: int | Column, found: Column, barcodes: BarcodeSet, max_ed: int | None = None) -> Column:
@@ -117,9 +118,20 @@ def _rows(codes: tuple[str, ...], lengths: tuple[int, ...]) -> pa.Table:
     return pa.table({"segment": words, "ord": columns[0], "ed": columns[1], "ties": columns[2]})
 
 
+#: The tables that sessions have made, by application, set and lengths: made once, however many plans use them.
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def segment_table(spark: SparkSession, barcodes: BarcodeSet, lengths: tuple[int, ...]) -> DataFrame:
-    """(segment, ord, ed, ties) of all segments over ACGT of these lengths."""
-    return spark.createDataFrame(_rows(tuple(barcodes.codes), tuple(lengths)))
+    """(segment, struct(ord, ed, ties)) of all segments over ACGT of these lengths."""
+    key = spark.sparkContext.applicationId, id(spark), tuple(barcodes.codes), tuple(lengths)
+    if key not in _TABLES:
+        for old in [k for k in _TABLES if k[0] != key[0]]:
+            del _TABLES[old]
+        rows = spark.createDataFrame(_rows(tuple(barcodes.codes), tuple(lengths)))
+        # kept, so that a plan refers to it instead of holding its rows
+        _TABLES[key] = rows.select("segment", F.struct("ord", "ed", "ties").cast(_KIND).alias("found")).persist()
+    return _TABLES[key]
 
 
 def match(
@@ -129,24 +141,27 @@ def match(
     all as long as the longest code)."""
     lengths = lengths or (barcodes.max_length,)
     if way == "auto":
-        way = "inline" if len(barcodes.codes) <= FEW else "enumerated" if max(lengths) <= LONGEST else "distinct"
-    if way == "inline":
-        return df.withColumn(out, verdict(segment, required, best(segment, barcodes.codes), barcodes, max_ed))
-    key, hit = f"__{out}_segment", f"__{out}_hit"
+        joined = "inline" if df.isStreaming else "distinct"  # a stream isn't joined with itself
+        way = "inline" if len(barcodes.codes) <= FEW else "enumerated" if max(lengths) <= LONGEST else joined
+    key, hit, found = (f"__{out}_{k}" for k in ("segment", "hit", "found"))
     df = df.withColumn(key, segment)
-    if way == "enumerated":
-        known = segment_table(df.sparkSession, barcodes, lengths).select(F.col("segment").alias(key), F.struct("ord", "ed", "ties").cast(_KIND).alias(hit))
-        joined = df.join(F.broadcast(known), key, "left")
-        found = F.when(F.col(hit).isNotNull(), F.col(hit)).when(F.col(key).isNotNull(), best(F.col(key), barcodes.codes).cast(_KIND))
+    if way == "inline":
+        df = df.withColumn(found, best(key, barcodes.codes))
+    elif way == "enumerated":
+        known = segment_table(df.sparkSession, barcodes, lengths).select(F.col("segment").alias(key), F.col("found").alias(hit))
+        df = df.join(F.broadcast(known), key, "left")
+        df = df.withColumn(found, F.coalesce(F.col(hit), F.when(F.col(key).isNotNull(), best(key, barcodes.codes).cast(_KIND)))).drop(hit)
     else:
-        once = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn(hit, best(F.col(key), barcodes.codes).cast(_KIND))
-        joined, found = df.join(once, key, "left"), F.col(hit)
-    return joined.withColumn(out, verdict(F.col(key), required, found, barcodes, max_ed)).drop(key, hit)
+        once = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn(found, best(key, barcodes.codes).cast(_KIND))
+        df = df.join(once, key, "left")
+    # what was found is a column of its own, so that its uses don't repeat the search
+    return df.withColumn(out, verdict(F.col(key), required, F.col(found), barcodes, max_ed)).drop(key, found)
 
 
-def exact_then_fuzzy(segment: Column, barcodes: BarcodeSet) -> Column:
-    """The older way in one row: look the code up; only on a miss compare. tag, and whether it was exact."""
-    exact = F.element_at(F.map_from_arrays(_listed(barcodes.codes), _listed(barcodes.tags)), segment)
+def exact_then_fuzzy(segment: str, barcodes: BarcodeSet) -> Column:
+    """The older way in one row: look the code up; only on a miss compare. tag, and whether it was exact. segment: the
+    name of a column, or SQL."""
+    exact = F.element_at(F.map_from_arrays(_listed(barcodes.codes), _listed(barcodes.tags)), F.expr(segment))
     found = best(segment, barcodes.codes)
     fuzzy = F.when(found["ties"] == 1, F.element_at(_listed(barcodes.tags), found["ord"])).otherwise(F.lit(barcodes.unclear))
     return F.struct(F.coalesce(exact, fuzzy).alias("tag"), exact.isNotNull().alias("exact"))

@@ -10,12 +10,12 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from readloom.operators.combine import concatenate, io_stats, paste
-from readloom.operators.demux import first_output, second_output
+from readloom.operators.demux import both_outputs, spread
 from readloom.operators.logs import HEADERS, classified, clear_log, log_lines, unclear_log
 from readloom.plans.config import checked, describe, load_barcodes, matched_reads, parse_json, patched
 from readloom.plans.session import reachable
 from readloom.sources.text import read_lines, stdin_lines
-from readloom.sources.writers import join_parts, record_lines, write_json, write_ordered, write_stdout
+from readloom.sources.writers import join_parts, write_json, write_outputs, write_stdout
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -56,23 +56,24 @@ def demux(spark: SparkSession, args: argparse.Namespace) -> None:
             raise FileExistsError(f"{root} exists; -f replaces it")
         shutil.rmtree(root)
     matched = matched_reads(spark, plan, bc)
-    if len(plan.outputs) + 2 * args.logs > 1:
+    which = tuple(k for k in ("R1", "R2") if k in plan.outputs)
+    if args.logs:  # matched once for the outputs and the logs
         kept = f"{root}/matched"
         matched.write.option("compression", "zstd").parquet(kept)
         matched = spark.read.parquet(kept)
-    for key, rows in (("R1", first_output), ("R2", second_output)):
-        if key in plan.outputs:
-            parts = f"{root}/{key}.parts"
-            write_ordered(record_lines(rows(matched, bc)), parts)
-            join_parts(parts, f"{root}/{plan.outputs[key]}")
-            shutil.rmtree(parts)
+    if which:
+        parts = f"{root}/parts"
+        write_outputs(both_outputs(spread(matched) if args.logs else matched, bc, which), parts)
+        for key in which:
+            join_parts(f"{parts}/output={key}", f"{root}/{plan.outputs[key]}")
+        shutil.rmtree(parts)
     if args.logs:
         reads = classified(matched, bool(bc.plate))
         for kind, log in (("clear", clear_log), ("unclear", unclear_log)):
             with open(root / f"{kind}BC.log", "w") as f:
                 f.write(HEADERS[kind] + "\n")
                 write_stdout(log_lines(log(reads), kind), f)
-    shutil.rmtree(root / "matched", ignore_errors=True)
+        shutil.rmtree(root / "matched", ignore_errors=True)
     write_json(raw, str(root / "config.json"))
 
 

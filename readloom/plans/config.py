@@ -62,7 +62,7 @@ class Plan:
 
     raw: dict
     span: Range
-    reads: dict[str, str]
+    reads: dict[str, list[str]]
     barcode_files: dict[str, str]
     output: str
     outputs: dict[str, str]
@@ -91,7 +91,10 @@ def checked(raw: dict) -> Plan:
     for key in ("R1", "R2", "R3", "R4"):
         if not reads.get(key):
             raise ValueError(f"configuration lacks reads/{key}")
-    mates = {k.lower(): _under(reads.get("root", ""), reads[k]) for k in ("R1", "R2", "R3", "R4", "I1") if reads.get(k)}
+    lanes = lambda x: [x] if isinstance(x, str) else list(x)
+    mates = {k.lower(): [_under(reads.get("root", ""), p) for p in lanes(reads[k])] for k in ("R1", "R2", "R3", "R4", "I1") if reads.get(k)}
+    if len({len(p) for p in mates.values()}) > 1:
+        raise ValueError("all mates need as many files as there are lanes")
     files = {k: _under(bar.get("root", ""), bar[k]["file"]) for k in ("A", "B", "C", "D", "stagger", "plate") if bar.get(k, {}).get("file")}
     return Plan(raw, span, mates, files, home(out.get("root", "")), {k: out[k] for k in ("R1", "R2") if out.get(k)})
 
@@ -111,15 +114,16 @@ def describe(plan: Plan, bc: Barcodes) -> str:
     """What a dry run prints."""
     lines = [f"range: {plan.range_text}"]
     lines += [f"barcodes {k}: {len(s.entries)} codes of {s.min_length} to {s.max_length}, unclear {s.unclear}, from {plan.barcode_files[k]}" for k, s in bc.sets().items()]
-    lines += [f"reads {k}: {p}" for k, p in plan.reads.items()]
+    lines += [f"reads {k}: {', '.join(p)}" for k, p in plan.reads.items()]
     lines += [f"stagger from r4; code length {bc.total_length}", f"output: {plan.output}", *(f"  {k}: {v}" for k, v in plan.outputs.items())]
     lines.append("R2 clipped" if "R2" in plan.outputs else "no R2 output")
     return "\n".join(lines)
 
 
 def matched_reads(spark: SparkSession, plan: Plan, bc: Barcodes) -> DataFrame:
-    from readloom.operators.demux import demultiplex
+    """Read lane by lane, dealt out in chunks, and matched."""
+    from readloom.operators.demux import demultiplex, spread
     from readloom.sources.fastq import read_mates
 
     mates = {k: v for k, v in plan.reads.items() if k != "i1" or plan.has_plate}
-    return demultiplex(read_mates(spark, plan.range_text, **mates), bc)
+    return demultiplex(spread(read_mates(spark, plan.range_text, **mates)), bc)

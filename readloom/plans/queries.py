@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 from readloom.functions import bounded_edit_distance, edit_distance, max_substr, read_name, read_name_with_space
 from readloom.operators import combine, demux, legacy, logs, match, select
+from readloom.plans import file_queries
+from readloom.plans.sql import BARE_HEADER as _BARE_HEADER
+from readloom.plans.sql import CLASS as _CLASS
+from readloom.plans.sql import CLIP as _CLIP
+from readloom.plans.sql import HEADER as _HEADER
+from readloom.plans.sql import JOINED as _JOINED
+from readloom.plans.sql import LOGGED as _LOGGED
+from readloom.plans.sql import NAME as _NAME
 from readloom.plans.synthetic import MATCHES, READS, barcode_values, flat_reads, read_sets
 from readloom.sources.barcodes import guessed_unclear, make_set, shipped
 from readloom.sources.text import characters, lines_of, records
@@ -77,7 +85,7 @@ def _match_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _exact_then_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    found = match.exact_then_fuzzy(max_substr(demux.rx(), 0, 6), shipped("D"))
+    found = match.exact_then_fuzzy("substring(concat(r2.seq, r3.seq), 1, 6)", shipped("D"))
     return reads(spark, sf).where(F.length(demux.rx()) >= 6).select("idx", found.alias("m")).select("idx", "m.tag", "m.exact")
 
 
@@ -152,15 +160,6 @@ def _total_length(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(_BC.total_length,)], "total bigint")
 
 
-_JOINED = " from reads r join s on s.idx = r.idx join a on a.idx = r.idx join b on b.idx = r.idx join c on c.idx = r.idx join d on d.idx = r.idx join p on p.idx = r.idx"
-_NAME = "regexp_extract(name, '^[^ \t]*', 0)"
-_HEADER = f"concat({_NAME}, chr(9), 'BX:Z:', a.tag, c.tag, b.tag, d.tag, '-', p.tag, chr(9), 'RX:Z:', s2, s3, '+', si, chr(9), 'QX:Z:', q2, q3, '+', qi)"
-_BARE_HEADER = f"concat({_NAME}, chr(9), 'BX:Z:', a.tag, c.tag, b.tag, d.tag, chr(9), 'RX:Z:', s2, s3, chr(9), 'QX:Z:', q2, q3)"
-_CLIP = "(11 + case a.rt when 'unclear' then 8 when 'invalid' then 0 else length((select code from bc where set_name = 'A' and bc.ord = a.ord)) end)"
-_CLASS = "case when least(a.ord, b.ord, c.ord, d.ord) = 0 then 'unclear' when greatest(a.ed, b.ed, c.ed, d.ed) > 0 then 'corrected' else 'correct' end"
-_LOGGED = f"logged as (select concat(a.tag, c.tag, b.tag, d.tag, p.tag) as code, {_CLASS} as rt {_JOINED})"
-
-
 def _with(ctes: str, query: str) -> str:
     return f"with {ctes.format(orders='orders')} {query}"
 
@@ -296,4 +295,4 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         f"select idx, clip, substring(s4, clip + 1) as seq from (select *, case when n between 1 and 32 then 17 when n between 33 and 64 then 18 else 19 end as clip from (select *, cast(substring(tag_a, 2, 2) as int) as n from ({_legacy_sql('8bp')})))",
     ),
     "legacy_read_limit": (lambda s, d: select.select_range(reads(s, d), "0:100", "idx").select("idx", "r1.seq"), _with(READS, "select idx, s1 as seq from reads where idx < 100")),
-}
+} | file_queries.QUERIES

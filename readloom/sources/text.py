@@ -47,12 +47,13 @@ FIELDS = ("name", "seq", "plus", "qual")
 
 def records(lines: DataFrame, fields: str = "1111") -> DataFrame:
     """(idx, name, seq, plus, qual) of lines in groups of four; never by looking for '@', which a quality line may
-    start with. fields: a mask, the last character for the name. A last record that isn't complete is left out."""
+    start with. fields: a mask, the last character for the name. A record that isn't complete raises."""
     keep = [f for f, bit in zip(FIELDS, reversed(fields)) if bit == "1"]
     wide = lines.groupBy(F.floor(F.col("line_no") / 4).cast("bigint").alias("idx")).agg(
         F.count("*").alias("n"), *(F.max(F.when(F.col("line_no") % 4 == FIELDS.index(f), F.col("value"))).alias(f) for f in keep)
     )
-    return wide.where("n = 4").select("idx", *keep)
+    whole = F.when(F.col("n") == 4, F.col("idx")).otherwise(F.raise_error(F.concat(F.lit("an incomplete record: "), F.col("idx").cast("string"))))
+    return wide.select(whole.alias("idx"), *keep)
 
 
 def read_fastq(spark: SparkSession, path: str, fields: str = "1111") -> DataFrame:

@@ -253,3 +253,64 @@ def test_stdin_and_parts(spark, tmp_path):
     writers.write_ordered(rows.withColumnRenamed("line_no", "idx"), str(tmp_path / "w"))
     with pytest.raises(Exception, match="already exists"):
         writers.write_ordered(rows.withColumnRenamed("line_no", "idx"), str(tmp_path / "w"))
+
+
+def test_lanes_stay_in_step(spark, mates, tmp_path, monkeypatch):
+    """Two lanes, blocks and chunks of a few records: ordinals tell all records apart, R1 and R2 keep the same order."""
+    from readloom.operators.demux import both_outputs, demultiplex, first_output, second_output, shipped_barcodes, spread
+    from readloom.sources.writers import join_parts, write_outputs
+
+    paths, sets = mates
+    monkeypatch.setattr(fastq, "BLOCK", 1000)
+    two = fastq.read_mates(spark, **{k: [p, p] for k, p in paths.items()})
+    assert two.select("idx").distinct().count() == 2 * len(sets)
+    bc = shipped_barcodes()
+    write_outputs(both_outputs(demultiplex(spread(two, 3, 5), bc), bc), str(tmp_path / "out"))
+    matched = demultiplex(two, bc)
+    lines = {}
+    for key, rows in (("R1", first_output), ("R2", second_output)):
+        join_parts(f"{tmp_path}/out/output={key}", f"{tmp_path}/{key}.gz")
+        with gzip.open(f"{tmp_path}/{key}.gz", "rt", newline="\n") as f:
+            lines[key] = f.read()
+        want = rows(matched, bc).orderBy("idx").collect()
+        assert lines[key] == "".join(f"{r.name}\n{r.seq}\n{r.plus}\n{r.qual}\n" for r in want)
+    headers = [lines[k].split("\n")[::4] for k in ("R1", "R2")]
+    assert headers[0] == headers[1] and len(headers[0]) == 2 * len(sets) + 1
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_incomplete_records_raise(spark, tmp_path, packed):
+    good = [(f"@r{i}", "ACGT", "+", "FFFF") for i in range(50)]
+    whole = fastq_file(tmp_path / "a", good, packed)
+    (tmp_path / "b").write_text("\n".join("\n".join(r) for r in good))  # without the last newline
+    assert [r.r2.name for r in fastq.read_mates(spark, r1=whole, r2=str(tmp_path / "b")).collect()] == [g[0] for g in good]
+    cut = fastq_file(tmp_path / "c", [*good, ("@x", "AC")], packed)
+    for paths in ({"r1": cut}, {"r1": whole, "r2": cut}):
+        with pytest.raises(Exception, match="isn't complete|inconsistent"):
+            fastq.read_mates(spark, **paths).collect()
+    with pytest.raises(Exception, match="incomplete record"):
+        text.records(text.read_lines(spark, str(tmp_path / "a")) if not packed else spark.createDataFrame([(0, "x")], "line_no bigint, value string")).union(
+            text.records(spark.createDataFrame([(0, "@a"), (1, "C")], "line_no bigint, value string"))
+        ).collect()
+    (tmp_path / "d").write_bytes(b"@a\n\xff\xfe\n+\nFF\n")
+    with pytest.raises(Exception, match="UTF"):
+        fastq.read_mates(spark, r1=str(tmp_path / "d")).collect()
+    (tmp_path / "e").write_bytes(b"")
+    assert not fastq.read_mates(spark, r1=str(tmp_path / "e")).collect()
+
+
+def test_streams_of_long_codes(spark, tmp_path):
+    """Codes too long to be enumerated are compared in the row where the reads are a stream."""
+    from readloom.operators.match import match
+    from readloom.sources.barcodes import make_set
+
+    rng = random.Random(4)
+    codes = ["".join(rng.choices("ACGT", k=10)) for _ in range(12)]
+    one = make_set("X", [(f"X{i:02}", c) for i, c in enumerate(codes, 1)])
+    rows = [(i, codes[i % 12][:-1] + rng.choice("ACGTN")) for i in range(40)]
+    spark.createDataFrame(rows, "idx bigint, seg string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("idx bigint, seg string").parquet(str(tmp_path / "in"))
+    out = match(stream, F.col("seg"), 10, one, "x").select("idx", "x.tag", "x.rt")
+    out.writeStream.format("memory").queryName("long_codes").option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+    want = match(spark.read.parquet(str(tmp_path / "in")), F.col("seg"), 10, one, "x", way="distinct").select("idx", "x.tag", "x.rt")
+    assert sorted(map(tuple, spark.table("long_codes").collect())) == sorted(map(tuple, want.collect()))
