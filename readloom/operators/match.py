@@ -64,21 +64,16 @@ def best(segment: str, codes: list[str]) -> Column:
     return F.expr((_few if len(codes) <= FEW else _many)(segment, codes))
 
 
-def verdict(segment: Column, required: int | Column, found: Column, barcodes: BarcodeSet, max_ed: int | None = None) -> Column:
-    """struct(tag, ord, ed, rt) of what ``best`` found."""
-    required = F.lit(required) if isinstance(required, int) else required
-    short = segment.isNull() | (F.length(segment) < required)
-    told = (found["ed"] == 0) | (found["ties"] == 1)
-    if max_ed is not None:
-        told = told & (found["ed"] <= max_ed)
-    rt = F.when(short, "invalid").when(found["ed"] == 0, "correct").when(told, "corrected").otherwise("unclear")
-    tags = _listed(barcodes.tags)
-    return F.struct(
-        F.when(~short & told, F.element_at(tags, found["ord"])).otherwise(F.lit(barcodes.unclear)).alias("tag"),
-        F.when(~short & told, found["ord"]).otherwise(F.lit(0)).alias("ord"),
-        F.when(short, F.lit(-1)).otherwise(found["ed"]).alias("ed"),
-        rt.alias("rt"),
-    )
+def verdict(segment: str, required: int | str, found: str, barcodes: BarcodeSet, max_ed: int | None = None) -> Column:
+    """struct(tag, ord, ed, rt) of what ``best`` found. segment, required, found: columns, by name."""
+    short = f"({segment} is null or length({segment}) < {required})"
+    told = f"({found}.ed = 0 or {found}.ties = 1)" + (f" and {found}.ed <= {max_ed}" if max_ed is not None else "")
+    tag = f"element_at(split({_quoted(' '.join(barcodes.tags))}, ' '), {found}.ord)"
+    return F.expr(f"""named_struct(
+        'tag', case when not {short} and {told} then {tag} else {_quoted(barcodes.unclear)} end,
+        'ord', case when not {short} and {told} then {found}.ord else 0 end,
+        'ed', case when {short} then -1 else {found}.ed end,
+        'rt', case when {short} then 'invalid' when {found}.ed = 0 then 'correct' when {told} then 'corrected' else 'unclear' end)""")
 
 
 @lru_cache(maxsize=32)
@@ -143,8 +138,8 @@ def match(
     if way == "auto":
         joined = "inline" if df.isStreaming else "distinct"  # a stream isn't joined with itself
         way = "inline" if len(barcodes.codes) <= FEW else "enumerated" if max(lengths) <= LONGEST else joined
-    key, hit, found = (f"__{out}_{k}" for k in ("segment", "hit", "found"))
-    df = df.withColumn(key, segment)
+    key, hit, found, least = (f"__{out}_{k}" for k in ("segment", "hit", "found", "required"))
+    df = df.withColumns({key: segment} if isinstance(required, int) else {key: segment, least: required})
     if way == "inline":
         df = df.withColumn(found, best(key, barcodes.codes))
     elif way == "enumerated":
@@ -155,7 +150,7 @@ def match(
         once = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn(found, best(key, barcodes.codes).cast(_KIND))
         df = df.join(once, key, "left")
     # what was found is a column of its own, so that its uses don't repeat the search
-    return df.withColumn(out, verdict(F.col(key), required, F.col(found), barcodes, max_ed)).drop(key, found)
+    return df.withColumn(out, verdict(key, required if isinstance(required, int) else least, found, barcodes, max_ed)).drop(key, found, least)
 
 
 def exact_then_fuzzy(segment: str, barcodes: BarcodeSet) -> Column:

@@ -61,6 +61,9 @@ reads as (
 
 
 def flat_reads(spark: SparkSession, orders: DataFrame) -> DataFrame:
+    """The keys are few bytes and what is made of them is many: they are dealt to all cores first."""
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    orders = orders.select("o_orderkey").repartition(cores)
     return spark.sql("with " + READS + " select * from reads", orders=orders)
 
 
