@@ -7,38 +7,43 @@ similarity of at least ``threshold``, exactly, by a prefix-tree join.
 2. For those that stay (the near copies, mostly), the same exchange brings back how many documents have each
    shared gram. Grams are put in one global order, rarest first. Documents with equal sets become one node,
    named by the smallest id.
-3. Two sets with Jaccard >= t have a gram in common among the first n - ceil(t * n) + 1 of either. Nodes with a
-   common gram in these prefixes and sizes that can match are linked, and the connected components of the links (alternating stars,
-   logarithmically many rounds) are the blocks: no pair crosses them. A block of more than ``CHUNK`` documents
-   is split around pivots, some of its documents: 1 - Jaccard is a metric, so a partner of a document at
-   distance d of its nearest pivot lies within d + 1 - t of that pivot, and only those join it there; what is
-   near no pivot forms components anew. What is larger still (copies of one text, pairs for the most part) is
-   cut into chunks, and each pair of chunks is a task of its own.
+3. Two sets with Jaccard >= t have a gram in common among the first n - ceil(t * n) + 1 of either. Of the nodes with
+   a gram in these prefixes and sizes that can match, the first in one order of all nodes is the gram's pivot, and the
+   nodes of the grams of a pivot are a block: each pair is in one at least. Grams of one text have few different
+   pivots, and blocks don't chain: a gram that two unlike texts share by chance joins these two and not what each is
+   near to. A pair that lies in several blocks counts in the one whose pivot comes first. Blocks of more than ``CHUNK``
+   documents (copies of one text, pairs for the most part) are cut into chunks, and each pair of chunks is a task of
+   its own.
 4. In a block the sets are stored in a trie over the block's global order of grams (most frequent first, so
    that copies share paths), 64 grams a level. The trie is traversed against itself from the root: a pair of
    nodes carries the overlap of all sets below them so far, counted once; a pair of subtrees is cut when the
    overlap and the grams that remain in the shorter one can't reach t / (1 + t) * (n1 + n2).
 
-Result: pairs (doc_a, doc_b, jaccard), doc_a < doc_b. Of each two different sets that are alike enough there is
-the pair of the smallest ids that have them; each further document with a set is paired with the smallest id that
-has it, at 1.0. So all pairs of documents follow from the result, whose length doesn't grow with the square of the
-number of exact copies.
+Results, all exact:
+
+* ``jaccard_classes`` (the query): (doc_id, class_id, links), a row for each document: the smallest id of those that are
+  joined to it, directly or by way of others (its own, if none is), and the number of other documents that are alike
+  enough, every copy counted. Its length is that of the input, however large the groups.
+* ``jaccard_join``: pairs (doc_a, doc_b, jaccard), doc_a < doc_b. Of each two different sets that are alike enough there
+  is the pair of the smallest ids that have them; each further document with a set is paired with the smallest id that
+  has it, at 1.0. All pairs of documents follow from these.
+* ``dedup``: the input, one document of each class.
 
 Buckets are as many as the texts' bytes ask for (some MB each), whatever the number of partitions. Grams are told
 apart by 64-bit hashes with a seed drawn anew for each run, so no text can be made to look like another; that two
 given grams look alike by chance has odds of 2**-64.
 
-Defined results: documents with null ids or texts, and those without a word, have no partner; one of fewer than n
-words has one gram, all its words; rows of the same id are one document with the grams of all of them; ids may be
-of any type that can be ordered; further columns, whatever their names, are dropped by ``jaccard_join`` and
-returned untouched by ``dedup``; an empty table gives an empty table.
+Defined results: documents with null ids or texts, and those without a word, have no partner (``jaccard_classes``
+returns no row for null ids); one of fewer than n words has one gram, all its words; rows of the same id are one
+document with the grams of all of them; ids may be of any type that can be ordered; further columns, whatever their
+names, are dropped by ``jaccard_join`` and ``jaccard_classes`` and returned untouched by ``dedup``; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
 
 import secrets
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +59,9 @@ THRESHOLD = 0.5
 CHUNK = 1024
 _SMALL = 64
 #: Links up to this number (16 bytes each) are joined up by the driver.
-LOCAL_LINKS = 10_000
-#: Pivots of a large block, how near (as a share of the threshold) a document is to one it belongs to, and how often
-#: what belongs to none is tried again.
+LOCAL_LINKS = 1 << 20
+#: Other pivots of a block, at most, of which the pairs are left out before they are looked at.
 PIVOTS = 32
-_NEAR = 0.8
-ROUNDS = 3
 _EPS = 1e-9
 
 
@@ -250,9 +252,10 @@ def _copies(each: DataFrame) -> DataFrame:
 
 
 def _links(nodes: DataFrame, threshold: float, bits: int) -> DataFrame:
-    """(a, b): nodes with a common gram in their prefixes, and of sizes that can match. In the order of their sizes
-    the nodes of a gram are cut wherever the next is too large for the one before, so for all before; within a
-    stretch each is linked to the first."""
+    """(root, doc): the pivots of each node. Nodes with a common gram in their prefixes, and of sizes that can match,
+    have one in common. In the order of their sizes the nodes of a gram are cut wherever the next is too large for the
+    one before, so for all before; a stretch of two nodes or more has a pivot, the first of them in the order of
+    hashed ids, whose hash names it."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,12 +282,16 @@ def _links(nodes: DataFrame, threshold: float, bits: int) -> DataFrame:
         owner, size, grams = owner[order], size[order], grams[order]
         first = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (size[:-1] < threshold * size[1:] - _EPS)])
         times = np.diff(np.r_[first, len(grams)])
-        pairs = np.stack([np.repeat(owner[first], times), owner], 1)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+        pivot = np.repeat(np.minimum.reduceat(mix(owner.astype(np.uint64)).astype(np.int64), first), times) if len(first) else owner
+        some = np.repeat(times, times) > 1
+        pivot, owner = pivot[some], owner[some]
+        order = np.lexsort((owner, pivot))
+        pivot, owner = pivot[order], owner[order]
+        new = np.r_[True, (pivot[1:] != pivot[:-1]) | (owner[1:] != owner[:-1])] if len(owner) else np.zeros(0, bool)
+        return pa.table({"root": pivot[new], "doc": owner[new]})
 
     dealt = in_batches(nodes.select("doc", "lead", "n", "grams"), deal, "bucket int, ids binary, sizes binary, counts binary, grams binary")
-    return in_groups(_by(dealt, "bucket", bits), link, "a bigint, b bigint").distinct()
+    return in_groups(_by(dealt, "bucket", bits), link, "root bigint, doc bigint").distinct()
 
 
 def _local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -417,81 +424,88 @@ def trie_join(group: np.ndarray, side: np.ndarray, n: np.ndarray, grams: list[np
     return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
-def _to_pivots(large: DataFrame, counts: DataFrame, threshold: float, turn: int) -> DataFrame:
-    """(doc, pivot, far): the distance of each document to the pivots of its block that can matter to it."""
-    chosen = Window.partitionBy("root").orderBy(F.xxhash64("doc", F.lit(turn)), "doc")
-    pivots = large.withColumn("k", F.row_number().over(chosen)).where(F.col("k") <= PIVOTS).select("root", F.col("doc").alias("pivot"), "n", "grams")
-    slots = counts.select("root", F.ceil(F.col("members") / CHUNK).cast("int").alias("slots"))
-    left = large.join(slots, "root").select("root", "doc", "n", "grams", F.pmod(F.xxhash64("doc"), F.col("slots")).cast("int").alias("slot"))
-    right = pivots.join(slots, "root").select(
-        F.col("root").alias("of"), F.col("pivot").alias("pivot"), F.col("n").alias("m"), F.col("grams").alias("others"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("at")
-    )
-
-    def distances(docs: pa.Table, pivots: pa.Table) -> pa.Table:
-        sets = [[np.frombuffer(x, np.uint64) for x in column.to_pylist()] for column in (docs.column("grams"), pivots.column("others"))]
-        n, m = docs.column("n").to_numpy(), pivots.column("m").to_numpy()
-        grams, owner = np.concatenate([*sets[1], np.zeros(0, np.uint64)]), np.repeat(np.arange(len(m)), [len(x) for x in sets[1]])
-        order = np.argsort(grams, kind="stable")
-        grams, owner = grams[order], owner[order]
-        common = np.zeros((len(n), len(m)), np.int64)
-        for row, own in zip(common, sets[0]):
-            first = np.searchsorted(grams, own)
-            row += np.bincount(owner[ranges(first, np.searchsorted(grams, own, "right") - first)], minlength=len(m))
-        alike = common / (n[:, None] + m[None, :] - common)
-        i, j = np.nonzero(alike >= (1 - _NEAR) * threshold - _EPS)
-        return pa.table({"doc": docs.column("doc").to_numpy()[i], "pivot": pivots.column("pivot").to_numpy()[j], "far": 1 - alike[i, j]})
-
-    return in_groups(left.groupBy("root", "slot").cogroup(right.groupBy("of", "at")), distances, "doc bigint, pivot bigint, far double")
-
-
-def _blocks(nodes: DataFrame, threshold: float, bits: int) -> DataFrame:
-    """(doc, root): blocks, named by one of their documents, such that each pair is in one at least."""
-    out, rest = [], nodes.select("doc", "n", "lead", "grams")
-    for turn in range(ROUNDS + 1):
-        roots = components(_links(rest, threshold, bits))
-        counts = stored(roots.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > CHUNK), "large")
-        if turn == ROUNDS or counts.isEmpty():
-            out.append(roots)
-            break
-        out.append(roots.join(counts, "root", "left_anti").select("doc", "root"))
-        members = stored(roots.join(counts, "root", "left_semi"), "members")
-        large = stored(rest.join(sized(members, 16), "doc"), "large-nodes")
-        near = stored(_to_pivots(large, counts, threshold, turn), "near-pivots")
-        home = near.where(F.col("far") <= _NEAR * threshold).groupBy("doc").agg(F.min(F.struct("far", "pivot")).alias("home"))
-        reach = home.groupBy("home.pivot").agg(F.max("home.far").alias("reach"))
-        out.append(near.join(reach, "pivot").where(F.col("far") <= F.col("reach") + 1 - threshold + _EPS).select("doc", F.col("pivot").alias("root")))
-        rest = large.join(home, "doc", "left_anti").select("doc", "n", "lead", "grams")
-    return reduce(DataFrame.union, out)
-
-
-def _joined(nodes: DataFrame, roots: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """(a, b, jaccard) of different sets, a < b."""
-    count = roots.groupBy("root").agg(F.count("*").alias("members"))
-    at = roots.join(count, "root").select(
+def _uncovered(side: np.ndarray, of: np.ndarray, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """[(rows, side)] of a block's joins, so that pairs of two rows that have one of the ``PIVOTS`` most common other
+    pivots (of, keys: row, pivot) are left out, where that saves much."""
+    which, at = np.unique(keys, return_inverse=True)
+    rest, out = np.ones(len(side), bool), []
+    for k in np.argsort(-np.bincount(at, minlength=len(which)), kind="stable")[:PIVOTS].tolist():
+        has = np.zeros(len(side), bool)
+        has[of[at == k]] = True
+        inside, others = rest & has, rest & ~has
+        if inside.sum() < max(2, rest.sum() / 8):
+            continue
+        for x, y in [(others, inside)] if not side.any() else [(others & (side == 1), inside & (side == 2)), (inside & (side == 1), others & (side == 2))]:
+            if x.any() and y.any():
+                out.append((np.flatnonzero(x | y), np.where(x, 1, 2)[x | y]))
+        rest = others
+    if rest.sum() > 1:
+        out.append((np.flatnonzero(rest), side[rest]))
+    return out
+
+
+def _elsewhere(p: np.ndarray, q: np.ndarray, rows: int, of: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """True where rows p and q have one of the pivots (of, keys: row, pivot) in common."""
+    which, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+    some = times[at] > 1
+    of, at, width = of[some].astype(np.int64), at[some], max(1, len(which))
+    code = np.sort(of * width + at)
+    at, size = code % width, np.bincount(of, minlength=rows)
+    start = np.cumsum(size) - size
+    out = np.zeros(len(p), bool)
+    for s in range(0, len(p) if len(code) else 0, 1 << 17):
+        a, b = p[s : s + (1 << 17)], q[s : s + (1 << 17)]
+        pair = np.repeat(np.arange(len(a)), size[a])
+        asked = b[pair] * width + at[ranges(start[a], size[a])]
+        out[s + pair[code[np.minimum(np.searchsorted(code, asked), len(code) - 1)] == asked]] = True
+    return out
+
+
+def _joined(nodes: DataFrame, links: DataFrame, threshold: float, parts: int, pairs: bool) -> DataFrame:
+    """pairs: (a, b, jaccard) of different sets, a < b. Else (doc, links, root) of what each task finds: the documents
+    with sets like its own, and a document that these are joined to."""
+    count = links.groupBy("root").agg(F.count("*").alias("members"))
+    at = links.join(count, "root").select(
         "doc", "root", F.when(F.col("members") > _SMALL, F.ceil(F.col("members") / CHUNK)).otherwise(F.lit(0)).cast("int").alias("chunks")
     )
     at = at.withColumn("mine", F.when(F.col("chunks") > 0, F.pmod(F.xxhash64("doc"), F.greatest("chunks", F.lit(1)))).otherwise(0).cast("int"))
     at = at.select("doc", "root", "chunks", "mine", F.explode(F.sequence(F.lit(0), F.greatest(F.col("chunks") - 1, F.lit(0)))).alias("other"))
     at = at.select(
-        "doc", "root", "mine",
-        F.when(F.col("chunks") > 0, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(parts))).alias("block"),
+        "doc", "root", "mine", (F.col("chunks") > 0).alias("large"),
+        F.when(F.col("chunks") > 0, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(parts))).alias("block"),
         F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
     )
 
     def join(key: tuple, rows: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        docs, n, mine = (rows.column(c).to_numpy() for c in ("doc", "n", "mine"))
+        i, j = key[2].as_py(), key[3].as_py()
+        docs, n, times, mine, root = (rows.column(c).to_numpy() for c in ("doc", "n", "times", "mine", "root"))
+        grams = [np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()]
+        roots = rows.column("roots").combine_chunks()
+        of, keys = np.repeat(np.arange(len(docs)), np.asarray(roots.value_lengths())), np.asarray(roots.flatten())
+        of, keys = of[keys < root[of]], keys[keys < root[of]]
         side = np.zeros(len(docs), np.int64) if i == j else np.where(mine == i, 1, 2)
-        p, q, common = trie_join(rows.column("root").to_numpy(), side, n, [np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()], threshold)
-        return pa.table({"a": np.minimum(docs[p], docs[q]), "b": np.maximum(docs[p], docs[q]), "jaccard": common / np.maximum(1, n[p] + n[q] - common)})
-
-    placed = nodes.select("doc", "n", "grams").join(sized(stored(at, "places"), 48), "doc")
-    pairs = in_groups(placed.groupBy("block", "i", "j"), join, "a bigint, b bigint, jaccard double")
-    return pairs.dropDuplicates(["a", "b"])  # a pair may lie in the blocks of two pivots
-
-
-def _pairs(docs: DataFrame, threshold: float, n: int) -> DataFrame:
-    """doc_a, doc_b, jaccard, by numbers."""
+        joins = _uncovered(side, of, keys) if key[0].as_py() else [(np.arange(len(docs)), side)]
+        p = q = common = np.zeros(0, np.int64)
+        if joins:
+            own, sides = (np.concatenate([x[c] for x in joins]) for c in (0, 1))
+            group = np.repeat(np.arange(len(joins)), [len(x[0]) for x in joins]) if key[0].as_py() else root
+            p, q, common = trie_join(group, sides, n[own], [grams[k] for k in own.tolist()], threshold)
+            p, q = own[p], own[q]
+            here = ~_elsewhere(p, q, len(docs), of, keys)
+            p, q, common = p[here], q[here], common[here]
+        if pairs:
+            return pa.table({"a": np.minimum(docs[p], docs[q]), "b": np.maximum(docs[p], docs[q]), "jaccard": common / np.maximum(1, n[p] + n[q] - common)})
+        doc, home = _local_components(docs[p], docs[q])
+        found = sum(np.bincount(np.searchsorted(doc, docs[x]), times[y], minlength=len(doc)) for x, y in ((p, q), (q, p)))
+        return pa.table({"doc": doc, "links": found.astype(np.int64), "root": home})
+
+    own = links.groupBy("doc").agg(F.collect_list("root").alias("roots"))
+    placed = nodes.select("doc", "n", "times", "grams").join(own, "doc").join(sized(stored(at, "places"), 48), "doc")
+    return in_groups(placed.groupBy("large", "block", "i", "j"), join, "a bigint, b bigint, jaccard double" if pairs else "doc bigint, links bigint, root bigint")
+
+
+def _nodes(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(the nodes, with how many documents each stands for; copies; the nodes' pivots; buckets)."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("the threshold lies above 0 and up to 1, n is 1 at least")
     bits, seed = _bits(docs), secrets.randbits(64)
@@ -500,13 +514,34 @@ def _pairs(docs: DataFrame, threshold: float, n: int) -> DataFrame:
         each = keep(stored(_sets(docs.join(sized(some, 16), "doc_id", "left_semi"), n, threshold, bits, seed), "sets"))
     copies = stored(_copies(each), "equal")
     nodes = each.join(sized(copies.select("doc_id"), 16), "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), "n", "grams", "lead")
-    with scratch() as keep:
-        blocks = keep(stored(_blocks(nodes, threshold, bits), "blocks"))
-    found = _joined(nodes, blocks, threshold, 1 << bits)
-    found = found.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
+    links = stored(_links(nodes, threshold, bits), "links")
+    more = stored(copies.groupBy("doc").agg(F.count("*").alias("more")), "times")
+    nodes = nodes.join(sized(more, 16), "doc", "left").withColumn("times", 1 + F.coalesce("more", F.lit(0)))
+    return nodes, copies, links, 1 << bits
+
+
+def _pairs(docs: DataFrame, threshold: float, n: int) -> DataFrame:
+    """doc_a, doc_b, jaccard, by numbers."""
+    nodes, copies, links, parts = _nodes(docs, threshold, n)
+    found = _joined(nodes, links, threshold, parts, True).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
     return found.union(copies.select("doc", "doc_id", F.lit(1.0)))
 
 
+def _classes(docs: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(doc_id, class_id, links), by numbers, stored, of the documents that have links."""
+    with scratch() as keep:
+        nodes, copies, links, parts = _nodes(docs, threshold, n)
+        found = stored(_joined(nodes, links, threshold, parts, False), "found")
+        total = found.groupBy("doc").agg(F.sum("links").alias("near"))
+        more = copies.groupBy("doc").agg(F.count("*").alias("more"))
+        near = components(found.select(F.col("doc").alias("a"), F.col("root").alias("b"))).join(total, "doc")
+        each = stored(
+            near.join(more, "doc", "full").select("doc", F.coalesce("root", "doc").alias("class_id"), (F.coalesce("near", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("links")), "nodes"
+        )
+        same = copies.join(sized(each, 24), "doc").select("doc_id", "class_id", "links")
+        return keep(stored(each.withColumnRenamed("doc", "doc_id").union(same), "classes"))
+
+
 def jaccard_join(df: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_a, doc_b, jaccard."""
     reachable(df.sparkSession)
@@ -514,6 +549,16 @@ def jaccard_join(df: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col
     return renamed(_pairs(docs, threshold, n), names, "doc_a", "doc_b")
 
 
+def jaccard_classes(df: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, links: a row for each id."""
+    reachable(df.sparkSession)
+    docs, names = numbered(df, id_col, text_col, "text")
+    found = renamed(_classes(docs, threshold, n), names, "doc_id", "class_id").withColumnRenamed("doc_id", "found_id")
+    every = df.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct()
+    out = every.join(sized(found, 64), F.col("doc_id") == F.col("found_id"), "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def dedup(df: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input without the documents that are joined, directly or by way of others, to one with a smaller id.
     Rows with null ids stay; rows of the same id stay or go together."""
@@ -521,16 +566,16 @@ def dedup(df: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str =
     docs, names = numbered(df, id_col, text_col, "text")
     gone = fresh(df, "gone")
     with scratch() as keep:
-        found = stored(_pairs(docs, threshold, n).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), "pairs")
-        copies = keep(stored(renamed(components(found).where("doc <> root").select(F.col("doc").alias(gone)), names, gone), "copies"))
+        found = _classes(docs, threshold, n).where("doc_id <> class_id").select(F.col("doc_id").alias(gone))
+        copies = keep(stored(renamed(found, names, gone), "copies"))
     return df.join(sized(copies, 64), F.col(id_col) == F.col(gone), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-#: By brute force over an inverted index.
+#: ``jaccard_join`` by brute force over an inverted index.
 SQL = rf"""
 with w as (select doc_id, regexp_extract_all(lower(text), '{WORD}') as w from documents where doc_id is not null and text is not null),
 g as (select doc_id, list_sort(list_distinct(case when len(w) < {N} then [array_to_string(w, ' ')]
@@ -541,3 +586,19 @@ p as (select x.doc as a, y.doc as b, x.n + y.n as nn, count(*) as c from t x joi
 select a as doc_a, b as doc_b, c / (nn - c) as jaccard from p where c >= {THRESHOLD} * (nn - c) - 1e-9
 union all select distinct s.doc, g.doc_id, 1.0 from g join s using (g) where g.doc_id > s.doc
 """
+
+#: ``jaccard_classes``, the query, by the same brute force.
+SQL_CLASSES = rf"""
+with recursive w as (select doc_id, regexp_extract_all(lower(text), '{WORD}') as w from documents where doc_id is not null and text is not null),
+g as (select doc_id, list_sort(list_distinct(case when len(w) < {N} then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N} - 1], ' ')) end)) as g from w where len(w) > 0),
+s as (select min(doc_id) as doc, g, len(g) as n, count(*) as m from g group by g),
+t as (select doc, n, m, unnest(g) as t from s),
+p as (select x.doc as a, y.doc as b, x.n + y.n as nn, y.m, count(*) as c from t x join t y on x.t = y.t and x.doc <> y.doc group by x.doc, y.doc, x.n, y.n, y.m),
+e as (select a, b, m from p where c >= {THRESHOLD} * (nn - c) - 1e-9),
+r as (select doc, doc as root from s union select e.b, r.root from r join e on e.a = r.doc),
+c as (select doc, min(root) as root from r group by doc),
+l as (select doc, m - 1 + coalesce((select sum(e.m) from e where e.a = s.doc), 0) as links, g from s)
+select d.doc_id, coalesce(c.root, d.doc_id) as class_id, cast(coalesce(l.links, 0) as bigint) as links
+from (select distinct doc_id from documents where doc_id is not null) d left join g using (doc_id) left join l using (g) left join c using (doc)
+"""

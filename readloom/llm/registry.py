@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.SQL, "op6_line_dedup": line_dedup.SQL, "op10_ngram_join": ngram_join.SQL}
+    return {"op3_quality_rules": quality.SQL, "op6_line_dedup": line_dedup.SQL, "op10_ngram_join": ngram_join.SQL_CLASSES}
