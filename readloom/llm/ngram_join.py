@@ -18,6 +18,10 @@ similarity of at least ``threshold``, exactly, by a prefix-tree join.
    that copies share paths), 64 grams a level. The trie is traversed against itself from the root: a pair of
    nodes carries the overlap of all sets below them so far, counted once; a pair of subtrees is cut when the
    overlap and the grams that remain in the shorter one can't reach t / (1 + t) * (n1 + n2).
+5. Where only classes are asked for, each node is first compared with its pivots alone, and those alike are joined up.
+   Then only pairs of nodes of different classes are left, and of these, as Jaccard distance is a metric, only those
+   whose distances to the pivot differ by 1 - t at most. While many are left, and another pivot halves them, blocks get
+   one. A large group of near copies costs a comparison for each node and pivot, not one for each pair.
 
 Results, all exact:
 
@@ -62,6 +66,8 @@ _SMALL = 64
 LOCAL_LINKS = 1 << 20
 #: Other pivots of a block, at most, of which the pairs are left out before they are looked at.
 PIVOTS = 32
+#: Pairs left for each node and pivot, up to which blocks aren't given another pivot where only classes are asked for.
+FEW = 4
 _EPS = 1e-9
 
 
@@ -252,7 +258,7 @@ def _copies(each: DataFrame) -> DataFrame:
 
 
 def _links(nodes: DataFrame, threshold: float, bits: int) -> DataFrame:
-    """(root, doc): the pivots of each node. Nodes with a common gram in their prefixes, and of sizes that can match,
+    """(root, doc, own): the pivots of each node, and whether it is the pivot itself. Nodes with a common gram in their prefixes, and of sizes that can match,
     have one in common. In the order of their sizes the nodes of a gram are cut wherever the next is too large for the
     one before, so for all before; a stretch of two nodes or more has a pivot, the first of them in the order of
     hashed ids, whose hash names it."""
@@ -288,10 +294,10 @@ def _links(nodes: DataFrame, threshold: float, bits: int) -> DataFrame:
         order = np.lexsort((owner, pivot))
         pivot, owner = pivot[order], owner[order]
         new = np.r_[True, (pivot[1:] != pivot[:-1]) | (owner[1:] != owner[:-1])] if len(owner) else np.zeros(0, bool)
-        return pa.table({"root": pivot[new], "doc": owner[new]})
+        return pa.table({"root": pivot[new], "doc": owner[new], "own": mix(owner[new].astype(np.uint64)).astype(np.int64) == pivot[new]})
 
     dealt = in_batches(nodes.select("doc", "lead", "n", "grams"), deal, "bucket int, ids binary, sizes binary, counts binary, grams binary")
-    return in_groups(_by(dealt, "bucket", bits), link, "root bigint, doc bigint").distinct()
+    return in_groups(_by(dealt, "bucket", bits), link, "root bigint, doc bigint, own boolean").distinct()
 
 
 def _local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -461,9 +467,66 @@ def _elsewhere(p: np.ndarray, q: np.ndarray, rows: int, of: np.ndarray, keys: np
     return out
 
 
-def _joined(nodes: DataFrame, links: DataFrame, threshold: float, parts: int, pairs: bool) -> DataFrame:
+def _spokes(nodes: DataFrame, links: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """(root, doc, pivot, far, near): of each node of a block but the pivot, the pivot, the Jaccard distance to it, and
+    whether they are alike enough. The pivot of a block of more than ``CHUNK`` nodes goes to each of its chunks."""
+    count = links.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    mine = F.array(F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+    at = links.join(count, "root").select("doc", "root", "own", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(mine)).alias("chunk"))
+    at = at.withColumn("part", F.pmod(F.xxhash64("root", "chunk"), F.lit(parts)))
+
+    def measure(rows: pa.Table) -> pa.Table:
+        docs, n, root, chunk, own = (rows.column(c).to_numpy() for c in ("doc", "n", "root", "chunk", "own"))
+        order = np.lexsort((~own, chunk, root))
+        docs, n, root, chunk = docs[order], n[order], root[order], chunk[order]
+        raw = rows.column("grams").to_pylist()
+        grams = [np.frombuffer(raw[k], np.uint64) for k in order.tolist()]
+        first = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (chunk[1:] != chunk[:-1])])
+        times = np.diff(np.r_[first, len(docs)])
+        common = np.zeros(len(docs), np.int64)
+        for a, b in zip(first.tolist(), (first + times).tolist()):
+            if b - a > 1:
+                pivot, each = np.sort(grams[a]), np.concatenate(grams[a + 1 : b])
+                hit = pivot[np.minimum(np.searchsorted(pivot, each), len(pivot) - 1)] == each
+                size = np.array([len(g) for g in grams[a + 1 : b]])
+                common[a + 1 : b] = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+        rest, head = np.ones(len(docs), bool), np.repeat(first, times)
+        rest[first] = False
+        every, common = (n + n[head] - common)[rest], common[rest]
+        return pa.table({"root": root[rest], "doc": docs[rest], "pivot": docs[head][rest], "far": 1 - common / every, "near": common >= threshold * every - _EPS})
+
+    placed = nodes.select("doc", "n", "grams").join(sized(stored(at, "places"), 48), "doc")
+    return in_groups(placed.groupBy("part"), measure, "root bigint, doc bigint, pivot bigint, far double, near boolean")
+
+
+def _undecided(spokes: DataFrame, known: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """(root, doc, own): the nodes of each block that may be like one of another class (known: doc, root). Distances to
+    the pivot of two that are alike differ by 1 - threshold at most; it is enough to look at the next nearer and the next
+    farther node of another class. own: the block's next pivot, the node nearest to this one (so, in a group around one
+    text, near to that text)."""
+
+    def open_ones(rows: pa.Table) -> pa.Table:
+        root, doc, far, label = (rows.column(c).to_numpy() for c in ("root", "doc", "far", "label"))
+        order = np.lexsort((far, root))
+        root, doc, far, label = root[order], doc[order], far[order], label[order]
+        first = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (label[1:] != label[:-1])])
+        times = np.diff(np.r_[first, len(doc)])
+        some = np.zeros(len(doc), bool)
+        for other, there in ((first - 1, first > 0), (first + times, first + times < len(doc))):
+            other, there = np.repeat(np.where(there, other, 0), times), np.repeat(there, times)
+            some |= there & (root[other] == root) & (np.abs(far - far[other]) <= 1 - threshold + 1e-6)
+        root, doc = root[some], doc[some]
+        return pa.table({"root": root, "doc": doc, "own": np.r_[True, root[1:] != root[:-1]][: len(root)]})
+
+    known = known.withColumnRenamed("root", "label")
+    each = spokes.join(sized(known, 24), "doc", "left").select("root", "doc", "far", F.coalesce("label", "doc").alias("label"))
+    return in_groups(each.groupBy(F.pmod(F.xxhash64("root"), F.lit(parts))), open_ones, "root bigint, doc bigint, own boolean")
+
+
+def _joined(nodes: DataFrame, links: DataFrame, threshold: float, parts: int, pairs: bool, known: DataFrame | None = None) -> DataFrame:
     """pairs: (a, b, jaccard) of different sets, a < b. Else (doc, links, root) of what each task finds: the documents
-    with sets like its own, and a document that these are joined to."""
+    with sets like its own, and a document that these are joined to. known: (doc, root), classes inside of which pairs
+    are left out."""
     count = links.groupBy("root").agg(F.count("*").alias("members"))
     at = links.join(count, "root").select(
         "doc", "root", F.when(F.col("members") > _SMALL, F.ceil(F.col("members") / CHUNK)).otherwise(F.lit(0)).cast("int").alias("chunks")
@@ -476,6 +539,8 @@ def _joined(nodes: DataFrame, links: DataFrame, threshold: float, parts: int, pa
         F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
     )
 
+    labelled = known is not None
+
     def join(key: tuple, rows: pa.Table) -> pa.Table:
         i, j = key[2].as_py(), key[3].as_py()
         docs, n, times, mine, root = (rows.column(c).to_numpy() for c in ("doc", "n", "times", "mine", "root"))
@@ -483,6 +548,8 @@ def _joined(nodes: DataFrame, links: DataFrame, threshold: float, parts: int, pa
         roots = rows.column("roots").combine_chunks()
         of, keys = np.repeat(np.arange(len(docs)), np.asarray(roots.value_lengths())), np.asarray(roots.flatten())
         of, keys = of[keys < root[of]], keys[keys < root[of]]
+        if labelled:  # a class is left out like one more pivot of its rows
+            of, keys = np.r_[of, np.arange(len(docs))], np.r_[np.unique(keys, return_inverse=True)[1], len(keys) + np.unique(rows.column("label").to_numpy(), return_inverse=True)[1]]
         side = np.zeros(len(docs), np.int64) if i == j else np.where(mine == i, 1, 2)
         joins = _uncovered(side, of, keys) if key[0].as_py() else [(np.arange(len(docs)), side)]
         p = q = common = np.zeros(0, np.int64)
@@ -500,7 +567,10 @@ def _joined(nodes: DataFrame, links: DataFrame, threshold: float, parts: int, pa
         return pa.table({"doc": doc, "links": found.astype(np.int64), "root": home})
 
     own = links.groupBy("doc").agg(F.collect_list("root").alias("roots"))
-    placed = nodes.select("doc", "n", "times", "grams").join(own, "doc").join(sized(stored(at, "places"), 48), "doc")
+    placed = nodes.select("doc", "n", "times", "grams").join(own, "doc")
+    if known is not None:
+        placed = placed.join(sized(known.withColumnRenamed("root", "label"), 24), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    placed = placed.join(sized(stored(at, "places"), 48), "doc")
     return in_groups(placed.groupBy("large", "block", "i", "j"), join, "a bigint, b bigint, jaccard double" if pairs else "doc bigint, links bigint, root bigint")
 
 
@@ -542,6 +612,26 @@ def _classes(docs: DataFrame, threshold: float, n: int) -> DataFrame:
         return keep(stored(each.withColumnRenamed("doc", "doc_id").union(same), "classes"))
 
 
+def _gone(docs: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(doc_id), by numbers, stored: the documents that aren't the first of their class. As no links are counted, pairs
+    inside of what is known to be one class aren't looked at."""
+    with scratch() as keep:
+        nodes, copies, links, parts = _nodes(docs, threshold, n)
+        left, known, before = links, None, None
+        while True:
+            spokes = stored(_spokes(nodes, left, threshold, parts), "spokes")
+            near = spokes.where("near").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
+            known = stored(components(near if known is None else near.union(known.where("doc <> root"))), "known")
+            left = stored(_undecided(spokes, known, threshold, parts), "undecided")
+            squares = left.groupBy("root").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0
+            if squares <= FEW * links.count() or before is not None and squares > before / 2:
+                break
+            before = squares
+        found = _joined(nodes, left, threshold, parts, False, known).select("doc", "root").union(known).where("doc <> root")
+        classes = components(found.select(F.col("doc").alias("a"), F.col("root").alias("b")))
+        return keep(stored(classes.where("doc <> root").select(F.col("doc").alias("doc_id")).union(copies.select("doc_id")), "gone"))
+
+
 def jaccard_join(df: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_a, doc_b, jaccard."""
     reachable(df.sparkSession)
@@ -566,7 +656,7 @@ def dedup(df: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str =
     docs, names = numbered(df, id_col, text_col, "text")
     gone = fresh(df, "gone")
     with scratch() as keep:
-        found = _classes(docs, threshold, n).where("doc_id <> class_id").select(F.col("doc_id").alias(gone))
+        found = _gone(docs, threshold, n).withColumnRenamed("doc_id", gone)
         copies = keep(stored(renamed(found, names, gone), "copies"))
     return df.join(sized(copies, 64), F.col(id_col) == F.col(gone), "left_anti")
 
