@@ -98,9 +98,10 @@ def _stdin(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stdout(spark: SparkSession, sf: str) -> DataFrame:
-    out = io.StringIO()
-    n = write_stdout(_lines(spark, sf).orderBy("idx").select("value"), out)
-    return spark.createDataFrame([(i, line, n) for i, line in enumerate(out.getvalue().split("\n")[:-1])], "line_no bigint, value string, n bigint")
+    path = f"{work_dir(spark)}/stdout"
+    with open(path, "w", encoding="utf-8", newline="\n") as out:  # standard output, sent to a file
+        n = write_stdout(_lines(spark, sf).orderBy("idx").select("value"), out)
+    return read_lines(spark, path).withColumn("n", F.lit(n).cast("bigint"))
 
 
 def _leaves(value, at: str = "") -> list[tuple[str, str]]:

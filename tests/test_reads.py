@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from readloom.functions import bounded_edit_distance, max_substr, read_name, read_name_with_space
 from readloom.operators import combine, demux, legacy, logs, match, select
 from readloom.plans import cli, config
+from readloom.plans.file_queries import QUERIES
 from readloom.plans.synthetic import read_sets
 from readloom.sources import barcodes, fastq, text, writers
 from readloom.streaming import demux as streaming
@@ -255,6 +256,39 @@ def test_stdin_and_parts(spark, tmp_path):
         writers.write_ordered(rows.withColumnRenamed("line_no", "idx"), str(tmp_path / "w"))
 
 
+def test_stdout_comes_in_blocks(spark, tmp_path):
+    """In order and whole, partitions without lines too, and in far fewer pieces than lines; bytes that are no text don't stop it."""
+    class Pieces(list):
+        write = list.append
+
+    out = Pieces()
+    lines = spark.range(5000, numPartitions=7).select(F.col("id").alias("idx"), F.concat(F.lit("l\u00e9"), F.col("id").cast("string")).alias("value"))
+    assert writers.write_stdout(lines.where("idx not between 1000 and 3999").orderBy("idx").select("value"), out) == 2000
+    assert "".join(out) == "".join(f"l\u00e9{i}\n" for i in range(5000) if not 1000 <= i < 4000) and len(out) < 50
+    assert writers.write_stdout(lines.where("idx < 0").select("value"), out) == 0
+    (tmp_path / "x").write_bytes(b"a\xffb\r\n\n\xe2\x82\nc")
+    out = Pieces()
+    assert writers.write_stdout(text.read_lines(spark, str(tmp_path / "x")).select("value"), out) == 4 and "".join(out) == "a\ufffdb\r\n\n\ufffd\nc\n"
+
+
+def test_stdout_query_keeps_no_lines_in_the_driver(spark, tmp_path):
+    import tracemalloc
+
+    n = 100_000
+    spark.range(n).select(((F.col("id") * 7919) % n).alias("o_orderkey"), F.lit("1-URGENT").alias("o_orderpriority")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(0).select(F.col("id").alias("o_orderkey"), F.lit("").alias("o_orderpriority")).write.parquet(f"{tmp_path}/none/orders.parquet")
+    tracemalloc.start()
+    try:
+        got = QUERIES["stdout_lines"][0](spark, str(tmp_path))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 << 20  # the lines are 1.5 MB; as a string and rows in the driver they took 26
+    whole = F.col("value") == F.concat_ws("|", F.col("line_no").cast("string"), F.lit("1-URGENT"))
+    assert got.where(whole & (F.col("n") == n)).agg(F.count("*"), F.count_distinct("line_no"), F.min("line_no"), F.max("line_no")).first() == (n, n, 0, n - 1)
+    assert got.count() == n and QUERIES["stdout_lines"][0](spark, f"{tmp_path}/none").count() == 0
+
+
 def test_lanes_stay_in_step(spark, mates, tmp_path, monkeypatch):
     """Two lanes, blocks and chunks of a few records: ordinals tell all records apart, R1 and R2 keep the same order."""
     from readloom.operators.demux import both_outputs, demultiplex, first_output, second_output, shipped_barcodes, spread
